@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from fragmenta.llm import bpe, packing
+from fragmenta.session import table
+
+
+def p6_ids(spark: SparkSession, base: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(table(spark, base, "documents"))
+
+
+def p7_containers(spark: SparkSession, base: str) -> DataFrame:
+    """Container and place of every document with a token, per container kind."""
+    kinds = table(spark, base, "containers").select("container_kind", "capacity").collect()  # a fixed table of three rows
+    documents = table(spark, base, "documents")
+    return packing.fill(bpe.sizes(documents), [tuple(k) for k in kinds], n_rows=documents.count())
+
+
+QUERIES: dict = {"p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLE: dict = {}
