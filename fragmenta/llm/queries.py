@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fragmenta.llm import bpe, packing
+from fragmenta.llm import bpe, overlap, packing
 from fragmenta.session import table
 
 
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """Train rows and evaluation rows that ask the same question."""
+    pairs = overlap.overlaps(table(spark, base, "train_qa"), table(spark, base, "queries"), "qa_id", "query_id")
+    return pairs.withColumn("query_id", F.col("query_id").cast("int"))
+
+
+def p1_report(spark: SparkSession, base: str) -> DataFrame:
+    """Overlaps per evaluation split and source of either side."""
+    pairs = p1_found(spark, base)
+    asked = table(spark, base, "queries").select("query_id", "split", F.col("source").alias("query_source"))
+    trained = table(spark, base, "train_qa").select("qa_id", F.col("source").alias("train_source"))
+    return (
+        pairs.join(asked, "query_id").join(trained, "qa_id").groupBy("split", "query_source", "train_source")
+        .agg(F.countDistinct("query_id").alias("queries"), F.countDistinct("qa_id").alias("train_rows"), F.count("*").alias("pairs"))
+    )
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, base, "documents"))
@@ -20,5 +38,5 @@ def p7_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill(bpe.sizes(documents), [tuple(k) for k in kinds], n_rows=documents.count())
 
 
-QUERIES: dict = {"p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLE: dict = {}
