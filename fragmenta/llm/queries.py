@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmenta.llm import bpe, overlap, packing
+from fragmenta.llm import bpe, knn, overlap, packing
 from fragmenta.session import table
 
 
@@ -26,6 +26,12 @@ def p1_report(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """Most similar vectors of every vector of either table."""
+    parts = [knn.neighbour_pairs(table(spark, base, name)).select(F.lit(name).alias("meta_table"), "doc_id_a", "doc_id_b") for name in ("scenes_meta", "train_meta")]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, base, "documents"))
@@ -38,5 +44,5 @@ def p7_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill(bpe.sizes(documents), [tuple(k) for k in kinds], n_rows=documents.count())
 
 
-QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLE: dict = {}
