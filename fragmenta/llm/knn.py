@@ -28,14 +28,14 @@ from fragmenta.session import cut
 
 #: Neighbours of a vector.
 K = 5
-#: Lists that a vector asks in. At 4 lists and 4 sqrt(N) centroids, 0.999 of the true neighbours are found.
+#: Lists that a vector asks in; with 4 sqrt(N) lists, 0.998 of the true neighbours are found at 100,000 rows.
 PROBES = 4
 #: Entries of a list that are compared exactly, for each query.
-RERANK = 24
+RERANK = 64
 #: Bounds of the fit: lists = 4 sqrt(rows) up to MAX_LISTS, sample = lists x SAMPLE_PER_LIST.
 MAX_LISTS, SAMPLE_PER_LIST = 16_384, 16
 #: Numbers in a sub-vector and entries of its codebook.
-SUB, CODES = 8, 256
+SUB, CODES = 4, 256
 #: Entries of a slice of a list.
 SLICE = 8_192
 #: Cosines that agree to so many decimals are equal.
@@ -177,7 +177,8 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim:
     sample = np.frombuffer(b"".join(bytes(r.v) for r in some.mapInArrow(normal, "id bigint, h binary, v binary").select("v").limit(want).collect()), np.float32).reshape(-1, dim)
     if not len(sample):
         return spark.createDataFrame([], "id bigint, other bigint, cosine double, rank int")
-    index = spark.sparkContext.broadcast(Index.fit(sample, n))
+    fitted = Index.fit(sample, n)
+    index = spark.sparkContext.broadcast((fitted.centroids, fitted.books, fitted.slices))
 
     # Copies: the least id stands for all.
     light = rows.select("h", "id")
@@ -186,7 +187,7 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to its own list as an entry, and to the others it asks in."""
-        ix = index.value
+        ix = Index(*index.value)
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
@@ -211,7 +212,7 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Slice by slice; rows of a slice follow one another."""
-        ix = index.value
+        ix = Index(*index.value)
         key, held = None, []
 
         def ended() -> Iterator[pa.RecordBatch]:
