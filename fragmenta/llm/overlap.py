@@ -25,7 +25,7 @@ from fragmenta.session import cut
 
 #: Shingle similarity below which a few slips cannot explain the difference.
 MIN_JACCARD = 0.55
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 64, 8
 #: Words that may differ between two wordings of one question.
 MAX_SLIPS = 6
 
