@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmenta.llm import bpe, knn, overlap, packing
+from fragmenta.llm import bpe, knn, overlap, packing, residue
 from fragmenta.session import table
 
 
@@ -44,5 +44,17 @@ def p7_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill(bpe.sizes(documents), [tuple(k) for k in kinds], n_rows=documents.count())
 
 
-QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with something that stands where content should."""
+    return residue.residue(table(spark, base, "documents")).select("doc_id").distinct()
+
+
+def p8_report(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with residue per source and kind."""
+    documents = table(spark, base, "documents")
+    found = residue.residue(documents).join(documents.select("doc_id", "source"), "doc_id")
+    return found.select("source", "doc_id", F.explode("kinds").alias("kind")).groupBy("source", "kind").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
 ORACLE: dict = {}
