@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmenta.llm import bpe, knn, overlap, packing, residue
+from fragmenta.llm import bpe, knn, overlap, packing, residue, truncation
 from fragmenta.session import table
 
 
@@ -32,6 +32,16 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Captions that lost their end."""
+    return truncation.truncated(table(spark, base, "captions"), "caption_id", ["vlm_caption", "llm_caption_en"]).distinct()
+
+
+def p4_rates(spark: SparkSession, base: str) -> DataFrame:
+    """How often each source cuts each field."""
+    return truncation.rates(table(spark, base, "captions"), "caption_id", ["vlm_caption", "llm_caption_en"])
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, base, "documents"))
@@ -56,5 +66,5 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
     return found.select("source", "doc_id", F.explode("kinds").alias("kind")).groupBy("source", "kind").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
+QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p4_rates": p4_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
 ORACLE: dict = {}
