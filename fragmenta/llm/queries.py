@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmenta.llm import bpe, knn, overlap, packing, residue, truncation
+from fragmenta.llm import bpe, knn, language, overlap, packing, residue, truncation
 from fragmenta.session import table
 
 
@@ -42,6 +42,26 @@ def p4_rates(spark: SparkSession, base: str) -> DataFrame:
     return truncation.rates(table(spark, base, "captions"), "caption_id", ["vlm_caption", "llm_caption_en"])
 
 
+def _spoken(spark: SparkSession, base: str) -> DataFrame:
+    scenes = table(spark, base, "scenes")
+    parts = [
+        table(spark, base, "train_qa").select(F.lit("train_qa.question").alias("field"), F.col("qa_id").alias("rec_id"), F.col("question").alias("text"), language.label_code(F.col("question_lang")).alias("label")),
+        scenes.select(F.lit("scenes.asr_text").alias("field"), F.col("row_id").alias("rec_id"), F.col("asr_text").alias("text"), language.label_code(F.col("asr_lang")).alias("label")),
+        scenes.select(F.lit("scenes.llm_caption_ru").alias("field"), F.col("row_id").alias("rec_id"), F.col("llm_caption_ru").alias("text"), F.lit("ru").alias("label")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_segments(spark: SparkSession, base: str) -> DataFrame:
+    """Language and confidence of every stretch of every text."""
+    return language.segments(_spoken(spark, base))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Stretches of texts whose label is missing or wrong, or that mix languages."""
+    return language.mislabelled(p5_segments(spark, base)).select("field", "rec_id", "seg_no", "lang").distinct()
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, base, "documents"))
@@ -66,5 +86,5 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
     return found.select("source", "doc_id", F.explode("kinds").alias("kind")).groupBy("source", "kind").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p4_rates": p4_rates, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
+QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_segments": p5_segments, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
 ORACLE: dict = {}
