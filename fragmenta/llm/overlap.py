@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,13 @@ der die das den dem des ein eine einen einem einer eines und oder aber in im an
 nach vor über unter nicht kein es ist sind war wird so denn doch mal eben halt genau eigentlich noch schon auch nur dann
 da hier dort bitte wohl gerade überhaupt sich
 el la los las un una unos unas lo de del al a en con por para y e o u pero no ni que se es son era ya aún todavía también
-muy tan así entonces ahora aquí allí pues solo sólo justo realmente exactamente quizá tal vez mismo le les su sus
+muy tan así entonces ahora aquí allí pues solo sólo justo realmente exactamente quizá tal vez mismo favor le les su sus
 le la les un une des du de d l au aux à en dans avec par pour et ou mais ne pas ni que qu se s est sont était déjà encore
-aussi très si alors donc ici là bien juste vraiment exactement peut être même lui leur son sa ses ce cet cette ces y
+aussi très si alors donc ici là bien juste vraiment exactement peut être même vous plaît lui leur son sa ses ce cet cette ces y
 """.split()
 
 _SMALL = frozenset(skeleton(w) for w in SMALL_WORDS)
+_LONGER_SMALL = sorted(w for w in _SMALL if len(w) >= 5)
 _PRIME = (1 << 61) - 1
 
 
@@ -142,14 +144,20 @@ def align(a: list[str], b: list[str], names: set[str]) -> list[tuple[str, str]]
             rest_b.remove(best[1])
             if not (w in _SMALL and best[1] in _SMALL):
                 open_pairs.append((w, best[1]))
-        elif not (w in _SMALL or len(w) <= 2):
+        elif not _small(w):
             return None
         slips += 1
-    if any(not (w in _SMALL or len(w) <= 2) for w in rest_b):
+    if any(w in names or not _small(w) for w in rest_b):
         return None
     return open_pairs if slips + len(rest_b) <= MAX_SLIPS else None
 
 
+@lru_cache(maxsize=100_000)
+def _small(w: str) -> bool:
+    """Whether a word is a small word, also with a slip in it."""
+    return w in _SMALL or len(w) <= 2 or any(distance(w, s, 1 + (len(s) >= 7)) <= 1 + (len(s) >= 7) for s in _LONGER_SMALL if abs(len(s) - len(w)) <= 2)
+
+
 def _moved(a: list[str], b: list[str]) -> int:
     """Positions at which two orders of the same words differ."""
     return sum(x != y for x, y in zip(a, b))

@@ -32,21 +32,18 @@ LIMIT_TEXTS, LIMIT_SHARE, LIMIT_NEAR = 8, 0.85, 1
 # What is left of an escape or entity, or put in place of the rest.
 _SIGNS = r"(?:[\\[(]\\s*(?:\\.{2,}|…)\\s*[\\])]|…|\\.{2,}|\\\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2}|[nrt])?|&(?:#?[A-Za-z0-9]{0,8};?)?|[�,;:–—-]|[(\\[](?i:more|read more|see more|continued|cont|truncated|cut|abridged)\\b[^)\\]]{0,12}[)\\]]?)"
 
+# LATERAL VIEW keeps each form of a text from being made again for every use of it.
 _FINAL = r"""
-WITH t AS (
-  SELECT id, field, source, text, regexp_replace(text, '[\\s\\u00a0\\u200b]+$', '') AS body FROM <<texts>>
-), b AS (
-  SELECT *, regexp_replace(body, '(?:\\s*<<signs>>)+$|\\s+\\.$|(?<=[^.])\\.$', '') AS bare FROM t
-), j AS (
-  SELECT *, CASE WHEN bare = body AND text <> body THEN ' ' ELSE substring(body, length(bare) + 1) END AS sign,
-    bare RLIKE '[!?”"»)\\]]$' OR (bare = body AND body RLIKE '[.!?…]["”»)\\]]$') AS closed,
-    length(regexp_replace(body, '[^“«(]', '')) > length(regexp_replace(body, '[^”»)]', '')) AS opened
-  FROM b
-), s AS (
-  SELECT *, bare RLIKE '^[^\\p{Lu}.!?“"]*$' AND size(split(bare, ',')) >= 3 AND NOT exists(split(bare, ','), x -> size(split(trim(x), ' +')) > 3) AS list,
-    split(regexp_replace(bare, '([.!?…]["”»)]?)\\s+(?=["“«(]?\\p{Lu})', '$1\n'), '\n') AS sentences FROM j
-)
-SELECT id, field, source, length(text) AS len, sign, closed, opened, list, sentences FROM s
+SELECT id, field, source, length(text) AS len, sign, closed, list,
+  length(translate(body, '”»)', '')) > length(translate(body, '“«(', '')) AS opened,
+  split(regexp_replace(bare, '([.!?…]["”»)]?)\\s+(?=["“«(]?\\p{Lu})', '$1\n'), '\n') AS sentences
+FROM <<texts>>
+LATERAL VIEW explode(array(regexp_replace(text, '[\\s\\u00a0\\u200b]+$', ''))) AS body
+LATERAL VIEW explode(array(CASE WHEN right(body, 1) RLIKE '[\\p{L}\\p{M}]' AND NOT right(body, 24) RLIKE '[&\\\\(\\[]' THEN body
+  ELSE concat(left(body, greatest(length(body) - 400, 0)), regexp_replace(right(body, 400), '(?:\\s*<<signs>>)+$|\\s+\\.$|(?<=[^.])\\.$', '')) END)) AS bare
+LATERAL VIEW explode(array(CASE WHEN bare = body AND text <> body THEN ' ' ELSE substring(body, length(bare) + 1) END)) AS sign
+LATERAL VIEW explode(array(bare RLIKE '[!?”"»)\\]]$' OR (bare = body AND body RLIKE '[.!?…]["”»)\\]]$'))) AS closed
+LATERAL VIEW explode(array(bare RLIKE '^[^\\p{Lu}.!?“"]*$' AND size(split(bare, ',')) >= 3 AND NOT exists(split(bare, ','), x -> size(split(trim(x), ' +')) > 3))) AS list
 """
 
 # The words of a sentence by kind: ^ the first, @ a name, # a number.
@@ -57,7 +54,7 @@ _COUNTS = """
 WITH sentence AS (
   SELECT posexplode(sentences) AS (at, sentence), size(sentences) AS n, closed, sign FROM <<parts>>
 ), word AS (
-  SELECT <<kinds of words of sentence>> AS w, at + 1 < n OR closed OR sign = '.' AS whole FROM sentence
+  SELECT w, at + 1 < n OR closed OR sign = '.' AS whole FROM sentence LATERAL VIEW explode(array(<<kinds of words of sentence>>)) AS w
 ), gram AS (
   SELECT explode(transform(sequence(3, greatest(3, size(w))), k -> struct(w[k - 3] AS a, w[k - 2] AS b, w[k - 1] AS c, k = size(w) AS last))) AS g, whole
   FROM word WHERE size(w) > 2
