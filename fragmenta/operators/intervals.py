@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fragmenta.settings import SETTINGS
 
-#: Cell widths in seconds; an interval is dealt by cells no narrower than itself.
-WIDTHS = (64.0, 512.0, 4096.0, 32768.0, 262144.0, 2097152.0, 1.0e15)
+#: Cell widths in seconds; an interval's own level is the first that is no narrower than itself.
+WIDTHS = (128.0, 2048.0, 65536.0, 1.0e15)
 
 
 def sound(start: str | Column = "start", end: str | Column = "end") -> Column:
@@ -50,30 +50,36 @@ def _level(length: Column) -> Column:
     return level.otherwise(len(WIDTHS) - 1)
 
 
-def _dealt(df: DataFrame, start: str, end: str, tag: str) -> DataFrame:
-    """One row for each cell that an interval lies in, at its own level and all wider ones."""
+def _dealt(df: DataFrame, start: str, end: str, own_meets: str, guest_meets: str) -> DataFrame:
+    """One row for each cell that an interval lies in, at its own level and as a guest at all wider ones.
+
+    ``meet`` says whom a row meets in its cell: own rows meet the own rows and the guests
+    of the other side, guests meet own rows only, so no two guests ever meet.
+    """
     own = _level(F.col(end) - F.col(start))
     widths = F.array(*[F.lit(w) for w in WIDTHS])
-    rows = df.withColumn(f"own_{tag}", own).withColumn("level", F.explode(F.sequence(F.col(f"own_{tag}"), F.lit(len(WIDTHS) - 1))))
+    rows = df.withColumn("_own", own).withColumn("level", F.explode(F.sequence(F.col("_own"), F.lit(len(WIDTHS) - 1))))
     width = F.element_at(widths, F.col("level") + 1)
     cells = F.sequence(F.floor(F.col(start) / width).cast("bigint"), F.floor(F.col(end) / width).cast("bigint"))
-    return rows.withColumn("cell", F.explode(cells))
+    meets = F.when(F.col("level") == F.col("_own"), F.array(F.lit("both"), F.lit(own_meets))).otherwise(F.array(F.lit(guest_meets)))
+    return rows.withColumn("cell", F.explode(cells)).withColumn("meet", F.explode(meets)).drop("_own")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
     """All pairs of one key whose intervals share a point, each pair once.
 
     Columns of both sides must differ but for ``key``; spans must be sound. An equi-join:
-    both sides are dealt into cells of the wider interval's level (at most two each), so
+    the narrower interval visits the cells of the wider one's level (at most two each), so
     a key with very many intervals is spread over its cells instead of meeting all with all.
+    A pair counts in the cell where the later of the two begins.
     """
     (a0, a1), (b0, b1) = left_span, right_span
-    a, b = _dealt(left, a0, a1, "a"), _dealt(right, b0, b1, "b")
-    met = a.join(b, [key, "level", "cell"])
+    a, b = _dealt(left, a0, a1, "left", "right"), _dealt(right, b0, b1, "right", "left")
+    met = a.join(b, [key, "level", "cell", "meet"])
     width = F.element_at(F.array(*[F.lit(w) for w in WIDTHS]), F.col("level") + 1)
-    once = (F.col("level") == F.greatest("own_a", "own_b")) & (F.col("cell") == F.floor(F.greatest(F.col(a0), F.col(b0)) / width).cast("bigint"))
+    once = F.col("cell") == F.floor(F.greatest(F.col(a0), F.col(b0)) / width).cast("bigint")
     shares = (F.col(a0) <= F.col(b1)) & (F.col(b0) <= F.col(a1))
-    return met.where(once & shares).drop("level", "cell", "own_a", "own_b")
+    return met.where(once & shares).drop("level", "cell", "meet")
 
 
 def suppress(df: DataFrame, groups: list[str], video: str, position: str, threshold: float, start: str = "start", end: str = "end") -> DataFrame:

@@ -15,6 +15,8 @@ from fragmenta.settings import SETTINGS
 
 #: Queries that are broadcast at once; a larger set is searched in several blocks.
 QUERY_BLOCK = 4_096
+#: Rows of a query side that are broadcast; a larger side is shuffled.
+BROADCAST_ROWS = 100_000
 #: Decimals to which scores are compared and given.
 DECIMALS = 6
 
@@ -101,6 +103,11 @@ def train_match(hits: DataFrame, low: float = SETTINGS.train_low, high: float =
     return labelled.withColumn("list_rank", F.row_number().over(place))
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``most`` rows; they are counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def postings(df: DataFrame, id_col: str, text_col: str, name: str = "doc_id") -> DataFrame:
     """``(<name>, term, tf, length)``: counted words of each text."""
     tokens = df.select(F.col(id_col).alias(name), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
@@ -113,7 +120,7 @@ def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = SETTINGS.sparse_to
     ``docs(doc_id, term, weight)``, ``queries(query_id, term, weight)``; scores above 0 only,
     ties in document order.
     """
-    met = docs.join(queries.withColumnRenamed("weight", "_q"), "term")
+    met = docs.join(small(queries.withColumnRenamed("weight", "_q")), "term")
     scored = met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("_q")), DECIMALS).alias("score"))
     return top(scored.where("score > 0"), "query_id", "score", "doc_id", k)
 
@@ -122,12 +129,13 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = SETTINGS.sparse_top_
     """``query_id, doc_id, score, rank`` by Okapi BM25 with the non-negative idf ln(1 + (N - df + 0.5) / (df + 0.5)).
 
     ``docs(doc_id, text)``, ``queries(query_id, text)``; a word repeated in a query counts
-    again. Only the words of the queries are ever shuffled.
+    again. Words that no query has are dropped where they are read, if the queries' words
+    are few enough to be broadcast, and in a join otherwise.
     """
     asked = postings(queries, "query_id", "text", "query_id").select("query_id", "term", F.col("tf").alias("qtf"))
     split = docs.select("doc_id", words(F.col("text")).alias("w"))
     n, mean = split.agg(F.count("*"), F.coalesce(F.avg(F.size("w")), F.lit(1.0))).first()  # two numbers
-    found = split.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = split.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
     tf = found.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     met = tf.join(asked.join(df, "term"), "term")
