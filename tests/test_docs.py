@@ -75,3 +75,29 @@ def test_triplets(spark):
     got = mining.triplets(asked, scenes, hits)
     assert sorted((r.query, r.positive, r.negative) for r in got.collect()) == [("question", "good", "bad"), ("вопрос", "good", "bad")]
     assert mining.labelled_pairs(got).count() == 4
+
+
+def test_flatten_split_and_resume(spark):
+    shots = spark.createDataFrame([("v", "a", [(0, 0.0, 5.0), (1, 5.0, 9.0)]), ("w", None, [])], "video_id string, audio_key string, scenes array<struct<scene_idx:int,start:double,end:double>>")
+    flat = docs.flatten_scenes(shots)
+    assert [(r.video_id, r.scene_idx) for r in flat.orderBy("scene_idx").collect()] == [("v", 0), ("v", 1)]
+    known = spark.createDataFrame([("v", 0)], "video_id string, scene_idx int")
+    assert [r.scene_idx for r in docs.pending(flat, known, docs.KEY).collect()] == [1]
+    given, rest = docs.split_present(flat, known, "video_id")
+    assert (given.count(), rest.count()) == (2, 0)
+    audio = spark.createDataFrame([("v", "x.wav")], "video_id string, audio_path string")
+    assert tuple(docs.once_per_audio(flat, audio).first()) == ("x.wav", 1, 2)
+
+
+def test_metadata_has_defaults(spark):
+    scene = spark.createDataFrame([("v", None, None, 1.0, None, "c", None, None)], "video_id string, scene_idx int, start double, end double, asr_text string, llm_caption_en string, llm_caption_ru string, scene_summary string")
+    assert tuple(docs.scene_metadata(scene).first()) == ("v", 0, 0.0, 1.0, "", "c", "", "")
+    event = spark.createDataFrame([(None, 3, 0.0, 1.0, None, None, "t")], "video_id string, event_idx int, start double, end double, center_scene_idx int, scene_indices array<int>, event_summary string")
+    assert tuple(docs.event_metadata(event).first()) == ("", 3, 0.0, 1.0, 0, [], "t")
+
+
+def test_question_forms(spark):
+    rows = [("да", "Yes", "x"), ("", "Yes", "x"), (None, None, "x"), ("same", "SAME", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "question_ru string, question_en string, question string")
+    got = [tuple(r) for r in df.select(docs.question_text(df.columns), docs.question_text(df.columns, True), docs.asked_texts(df.columns)).collect()]
+    assert got == [("да", "да Yes", ["да", "Yes"]), ("Yes", "Yes", ["", "Yes"]), ("x", "x", ["x"]), ("same", "same", ["same"]), ("", "", [])]
