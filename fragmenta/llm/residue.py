@@ -87,7 +87,7 @@ _MESSAGES = (
     r"(?:the |this )?(?:video|clip|page|file|content|media)(?: you (?:asked for|requested|are looking for))? (?:has been|was|is) (?:removed|deleted|unavailable|private|no longer available)|"
     r"(?:this|the) (?:title|video|content|page|clip|programme|program) (?:is )?(?:not available|unavailable) in your (?:region|country|area)|"
     r"your session (?:has )?(?:expired|timed out).{0,60}|something went wrong.{0,60}|an (?:unexpected )?error (?:has )?occurred.{0,60}|"
-    r"(?:страница|видео|фаил|запись|ролик|сайт|ресурс) (?:не наиден\w?|удален\w?|удалено или скрыто|недоступ\w+|не существует)|"
+    r"(?:страница|видео|фаил|запись|ролик|саит|ресурс) (?:не наиден\w?|удален\w?|удалено или скрыто|недоступ\w+|не существует)|"
     r"(?:внутренняя )?ошибка сервера|(?:сервис|сервер|саит) временно недоступен|доступ (?:запрещен|закрыт|ограничен)|слишком много запросов|"
     r"(?:контент|видео|материал|ролик) (?:недоступ\w+|не доступ\w+) в вашем (?:регионе|стране)|(?:ваша )?сессия (?:истекла|завершена).{0,60}|"
     r"(?:соединение|подключение) (?:разорвано|сброшено|прервано)|время ожидания (?:истекло|вышло)|"
