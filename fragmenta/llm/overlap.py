@@ -66,7 +66,7 @@ def _grams(tokens: list[str]) -> list[int]:
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    return rng.integers(1, 1 << 31, n, dtype=np.uint64)[:, None] * 2 + 1, rng.integers(0, 1 << 62, n, dtype=np.uint64)[:, None]
+    return rng.integers(1, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +92,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, bands = [], []
         for tokens in batch.column("tokens").to_pylist():
             g = _grams(tokens)
-            h = np.array(g, dtype=np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            low = ((h[None, :] * a + b) >> np.uint64(20)).min(axis=1).reshape(BANDS, ROWS)
+            h = np.array(g, dtype=np.int32).view(np.uint32)
+            h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(13)
+            low = (h[:, None] * a + b).min(axis=0).reshape(BANDS, ROWS).astype(np.uint64)
             grams.append(g)
             bands.append(((low * mix).sum(axis=1) >> np.uint64(1)).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
