@@ -63,6 +63,7 @@ _ONLY_UK, _ONLY_RU = frozenset("іїєґ"), frozenset("ыэъё")
 
 _SOUND = re.compile(r"\[[^\[\]\n]{0,60}\]|\([^()\n]{0,60}\)|<[^<>\n]{0,60}>|[♪♫♬♩]+|\*[^*\n]{0,40}\*")
 _TOKEN = re.compile(r"([^\w]*)([^\W\d_]+(?:['’ʼ][^\W\d_]+)*)")
+_RUN = re.compile(r"[^\w]{9,}")
 _MIX = {"̀": None, "́": None}
 _UNSEEN, _NAME, _FOREIGN, _FLOOR = 1.5, 0.2, 6.0, 9.0
 
@@ -90,7 +91,10 @@ def tokens(text: str) -> list[tuple[str, str]]:
     """(what stands before, word); sound tags are taken out."""
     import unicodedata
 
-    return _TOKEN.findall(unicodedata.normalize("NFC", _SOUND.sub(" . ", text)).translate(_MIX))
+    text = unicodedata.normalize("NFC", _SOUND.sub(" . ", text)).translate(_MIX)
+    # Long runs without a word shrink to what they mean, else each place in them is tried as a start.
+    text = _RUN.sub(lambda m: " . " if re.search(r"[.!?…\n;:/|]", m[0]) else " , " if re.search(r"[,—–\-]", m[0]) else " ", text)
+    return _TOKEN.findall(text)
 
 
 class Model:

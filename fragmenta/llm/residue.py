@@ -98,7 +98,7 @@ _MESSAGES = (
 )
 
 #: One of them as a whole sentence, or before a sentence that a line begins with.
-MESSAGE = rf"(?mU)^\W*(?i:(?:(?:http|error|ошибка|помилка|fehler|erreur|код|code)?[\s:#-]{{0,3}}[1-5]\d\d\b[\s:.,—-]{{1,4}})?(?:{_MESSAGES}))(?:\W*$|\s+(?=\p{{Lu}}))"
+MESSAGE = rf"(?mU)^[^\w\n]{{0,20}}(?i:(?:(?:http|error|ошибка|помилка|fehler|erreur|код|code)?[\s:#-]{{0,3}}[1-5]\d\d\b[\s:.,—-]{{1,4}})?(?:{_MESSAGES}))(?:[^\w\n]{{0,20}}$|\s+(?=\p{{Lu}}))"
 
 #: Error pages and failed programs.
 ERRORS = (
@@ -150,18 +150,19 @@ def _matches(text: Column, patterns: tuple[str, ...], hints: tuple[str, ...]) ->
     Those bound to the start of a line are tried there only; the others only in texts
     that contain one of the ``hints``, which is a search for plain strings.
     """
-    start = "^\\W*"
+    start = "^\\W*"  # what a pattern begins with; in the text at most 20 signs, on the same line
     single = [p for x in patterns for p in x.replace("|" + start, "\0" + start).split("\0")]
     bound = "|".join(p.removeprefix(start) for p in single if p.startswith(start))
     free = "|".join(p for p in single if not p.startswith(start))
     hinted = reduce(Column.__or__, [F.contains(text, F.lit(h)) for h in hints])
-    return text.rlike(f"(?mU)^\\W*(?:{bound})") | (hinted & text.rlike(f"(?mU){free}"))
+    return text.rlike(f"(?mU)^[^\\w\n]{{0,20}}(?:{bound})") | (hinted & text.rlike(f"(?mU){free}"))
 
 
 def _lines(text: Column, masked: str) -> Column:
     """One sentence a line, with what ``masked`` matches blanked."""
     text = F.regexp_replace(text, "[\\u00a0\\u2000-\\u200a\\u202f\\u3000\\t]", " ")
     text = F.regexp_replace(text, "[\\u200b-\\u200f\\u2060\\ufeff\\u00ad]|\r", "")
+    text = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "\n{2,}", "\n")
     text = F.regexp_replace(text, masked, "“”")
     return F.regexp_replace(text, "(?<=[.!?…])[ ]+", "\n")
 
@@ -187,7 +188,7 @@ def flagged(df: DataFrame, text_col: str = "text", to: str = "kinds") -> DataFra
     content = rf"(?m)^(?!(?i:.*(?:{_EXPLAINS}))).*?"
     slot = raw.rlike(r"[{\[<%$@]|__|\?\?\?|X{4}|Х{4}") & raw.rlike(f"{content}(?:{'|'.join(SLOTS.values())})")
     empty = rf"(?<![\p{{L}}\p{{N}}_]){EMPTY_VALUES}(?![\p{{L}}\p{{N}}_])"
-    nothing = raw.rlike(EMPTY_VALUES) & raw.rlike(rf"{content}{empty}.*?{empty}|^\W*{empty}\W*$")
+    nothing = raw.rlike(EMPTY_VALUES) & raw.rlike(rf"{content}{empty}.*?{empty}|^[^\w\n]{{0,20}}{empty}[^\w\n]{{0,20}}$")
     error = said.rlike(MESSAGE) | _matches(low, ERRORS, ERROR_HINTS) | (F.contains(plain, F.lit("{")) & F.lower(plain).rlike(f"(?mU){JSON_ERROR}"))
     filler, notice = _matches(low, FILLER, FILLER_HINTS), _matches(low, NOTICES, NOTICE_HINTS)
     found = F.array(*[F.when(c, F.lit(k)) for k, c in (("slot", slot), ("empty_value", nothing), ("filler", filler), ("error", error), ("notice", notice))])

@@ -38,7 +38,7 @@ SELECT id, field, source, length(text) AS len, sign, closed, list,
   length(translate(body, '”»)', '')) > length(translate(body, '“«(', '')) AS opened,
   split(regexp_replace(bare, '([.!?…]["”»)]?)\\s+(?=["“«(]?\\p{Lu})', '$1\n'), '\n') AS sentences
 FROM <<texts>>
-LATERAL VIEW explode(array(regexp_replace(text, '[\\s\\u00a0\\u200b]+$', ''))) AS body
+LATERAL VIEW explode(array(regexp_replace(text, '(?<![\\s\\u00a0\\u200b])[\\s\\u00a0\\u200b]++$', ''))) AS body
 LATERAL VIEW explode(array(CASE WHEN right(body, 1) RLIKE '[\\p{L}\\p{M}]' AND NOT right(body, 24) RLIKE '[&\\\\(\\[]' THEN body
   ELSE concat(left(body, greatest(length(body) - 400, 0)), regexp_replace(right(body, 400), '(?:\\s*<<signs>>)+$|\\s+\\.$|(?<=[^.])\\.$', '')) END)) AS bare
 LATERAL VIEW explode(array(CASE WHEN bare = body AND text <> body THEN ' ' ELSE substring(body, length(bare) + 1) END)) AS sign
@@ -77,7 +77,7 @@ WITH l AS (
 ), k AS (
   SELECT *, <<kinds of w>> AS g FROM l
 )
-SELECT id, field, source, len, sign, closed, opened, list, g[size(g) - 3] AS a, g[size(g) - 2] AS b, g[size(g) - 1] AS c, try_element_at(w, -1) AS word FROM k
+SELECT id, field, source, len, sign, closed, opened, list, get(g, size(g) - 3) AS a, get(g, size(g) - 2) AS b, get(g, size(g) - 1) AS c, try_element_at(w, -1) AS word FROM k
 """
 
 _JUDGED = """

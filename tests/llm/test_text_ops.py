@@ -196,3 +196,23 @@ def test_viterbi_equals_a_plain_one():
             path.append(came[path[-1]])
         want = language._stretches(np.array(path[::-1], np.int8), score, -1)
         assert [(r[0], r[1]) for r in runs] == [(r[0], r[1]) for r in want]
+
+
+def test_long_runs_take_no_square_time(spark):
+    import time
+
+    n = 60_000
+    runs = ["a b." + c * n + "c d" for c in (" ", "\n", ".", "!", "-", "x", "1", "😀", "(", "…", " \n")] + [c * n for c in (" ", "\n", ".", "{", "[", "X", "«")]
+    df = spark.createDataFrame([(i, t, "s", None) for i, t in enumerate(runs)], "doc_id bigint, text string, source string, label string")
+    began = time.time()
+    residue.residue(df).count()
+    truncation.truncated(df, "doc_id", ["text"]).count()
+    language.segments(df.select(F.lit("f").alias("field"), F.col("doc_id").alias("rec_id"), "text", "label")).count()
+    from fragmenta.functions import text as core
+    from fragmenta.llm import overlap
+
+    overlap.overlaps(df.withColumnRenamed("doc_id", "a"), df.withColumnRenamed("doc_id", "b"), "a", "b", "text").count()
+    df.select(core.normalize(F.col("text")), core.strip(F.col("text")), core.transliterate(F.col("text"))).write.format("noop").mode("overwrite").save()
+    if os.path.exists(bpe.VOCABULARY):
+        assert bpe.encode(df).count() == len(runs)
+    assert time.time() - began < 120
