@@ -41,7 +41,7 @@ def squeeze(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """White space of any kind taken off the ends; inner space stays."""
-    return F.regexp_replace(text, f"^{_SPACES}|{_SPACES}$", "")
+    return F.regexp_replace(text, f"^{_SPACES}|(?<!{_SPACES[:-1]}){_SPACES}$", "")
 
 
 def blank_to_null(text: Column) -> Column:
