@@ -183,7 +183,7 @@ def fit(rows: list[tuple[str, str | None]]) -> Model:
     for _ in range(ROUNDS + 1):
         scores: dict[str, np.ndarray] = {}
         counts = _seed_counts()
-        german = Counter()
+        seeded = dict(counts[1])
         for part, label in clauses:
             total = np.zeros(len(STATES), np.float32)
             for w in part:
@@ -201,11 +201,10 @@ def fit(rows: list[tuple[str, str | None]]) -> Model:
                 w = w.lower()
                 if _script(w) == (1 if best in _CYRILLIC else 0):
                     counts[best][w] += 1
-                    if best == 3:
-                        german[w] += 1
-                    if best == 1:
-                        for r in romanised(w):
-                            counts[6][r] += 1
+        for w, n in counts[1].items():
+            if n > seeded.get(w, 0):
+                for r in romanised(w):
+                    counts[6][r] += n - seeded.get(w, 0)
         # Names: written with a capital inside sentences, and not only in German.
         names = frozenset(w for w, n in upper.items() if n > 2 * lower[w] and sum(c[w] for c in counts) > 1.2 * counts[3][w])
         model = Model(counts, names)
