@@ -31,10 +31,16 @@ def hashed_vector(text: Column, dim: int = 96) -> Column:
     """Stand-in of a dense encoder: words hashed into ``dim`` signed places, unit length; null for a text without words."""
     from fragmenta.functions.text import words
 
+    def once(value: Column, then) -> Column:
+        """``then`` of a value that is worked out once, also where it is used for every place."""
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    def unit(raw: Column) -> Column:
+        return once(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.when(norm > 0, F.transform(raw, lambda x: (x / norm).cast("float"))))
+
     places = F.transform(words(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(places, lambda p: p.at == i), F.lit(0.0), lambda s, p: s + p.v))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(raw, lambda x: (x / norm).cast("float")))
+    raw = once(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(p, lambda x: x.at == i), F.lit(0.0), lambda s, x: s + x.v)))
+    return once(raw, unit)
 
 
 def fixed_shots(length: float = 10.0) -> Factory:

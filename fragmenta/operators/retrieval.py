@@ -114,6 +114,16 @@ def postings(df: DataFrame, id_col: str, text_col: str, name: str = "doc_id") ->
     return tokens.select(name, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(name, "length", "term").agg(F.count("*").alias("tf")).select(name, "term", "tf", "length")
 
 
+def sparse_weights(docs: DataFrame) -> DataFrame:
+    """``doc_id, term, weight`` of ``docs(doc_id, text)``: the stand-in of a sparse encoder."""
+    return postings(docs, "doc_id", "text").select("doc_id", "term", (F.log1p("tf") / F.sqrt("length")).alias("weight"))
+
+
+def query_weights(queries: DataFrame) -> DataFrame:
+    """``query_id, term, weight`` of ``queries(query_id, text)``."""
+    return postings(queries, "query_id", "text", "query_id").select("query_id", "term", F.col("tf").cast("double").alias("weight"))
+
+
 def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = SETTINGS.sparse_top_k) -> DataFrame:
     """``query_id, doc_id, score, rank``: product of sparse vectors over the terms in common.
 

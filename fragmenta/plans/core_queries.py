@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmenta.functions import spell, text
-from fragmenta.operators import docs, fusion, intervals, mining, retrieval, submit, windows
+from fragmenta.operators import docs, fusion, intervals, mining, models, retrieval, submit, windows
 from fragmenta.operators.periods import file_stem
 from fragmenta.plans import pipeline
-from fragmenta.session import checkpoint_dir, table
+from fragmenta.session import checkpoint_dir, cut, table
 from fragmenta.streaming import ready
 
 QUERIES: dict = {}
@@ -388,8 +388,7 @@ def bm25_topk(spark: SparkSession, base: str) -> DataFrame:
 def sparse_topk(spark: SparkSession, base: str) -> DataFrame:
     """The 50 best scenes of every query by the product of sparse vectors."""
     scenes, asked = _texts(spark, base)
-    weights = retrieval.postings(scenes, "doc_id", "text").select("doc_id", "term", (F.log1p("tf") / F.sqrt("length")).alias("weight"))
-    return retrieval.sparse_topk(weights, retrieval.postings(asked, "query_id", "text", "query_id").select("query_id", "term", F.col("tf").cast("double").alias("weight")))
+    return retrieval.sparse_topk(retrieval.sparse_weights(scenes), retrieval.query_weights(asked))
 
 
 @query("""WITH e AS (SELECT vec_id // 8 AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT DISTINCT q.doc_id AS query_id, (q.doc_id + d.k) % (SELECT max(doc_id) + 1 FROM e) AS doc_id
@@ -429,7 +428,7 @@ _COLS_LIST = ["query_id", "position", "video_id", "start", "end", "source", "doc
 
 
 def _found(spark: SparkSession, base: str) -> DataFrame:
-    return pipeline.candidates(_asked(spark, base), _corpus(spark, base))
+    return pipeline.scene_channels(_asked(spark, base), _corpus(spark, base))
 
 
 @query(f"""WITH {_CAND}, {_rrf("r", 'video_id, "start", "end", source')} SELECT {_COLS} FROM r""")
@@ -529,7 +528,7 @@ def expand_timecodes(spark: SparkSession, base: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_FINAL} SELECT query_id, slot, video_id, "start", "end", reranker_score FROM final""")
 def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
     """The five best fragments of every query, all steps."""
-    return pipeline.search(_asked(spark, base), _corpus(spark, base)).select("query_id", "slot", "video_id", "start", "end", "reranker_score")
+    return pipeline.search(_asked(spark, base), _corpus(spark, base), find=pipeline.scene_channels).select("query_id", "slot", "video_id", "start", "end", "reranker_score")
 
 
 _SLOTS = ", ".join(f"""coalesce(r[least({i}, n)].v, {{v}}) AS video_file_{i}, round(coalesce(r[least({i}, n)].s, {{s}}), 3) AS start_{i}, round(coalesce(r[least({i}, n)].e, {{e}}), 3) AS end_{i}""" for i in range(1, 6))
@@ -544,14 +543,14 @@ _EMPTY = ", ".join(f"""CASE WHEN n >= {i} THEN r[{i}].v ELSE '' END AS video_fil
 def submission_padded(spark: SparkSession, base: str) -> DataFrame:
     """One row per query, missing slots repeat the last."""
     asked = _asked(spark, base)
-    return submit.padded(asked, pipeline.search(asked, _corpus(spark, base)))
+    return submit.padded(asked, pipeline.search(asked, _corpus(spark, base), find=pipeline.scene_channels))
 
 
 @query(f"WITH RECURSIVE {_WIDE} SELECT query_id, {_EMPTY} FROM wide")
 def submission_empty(spark: SparkSession, base: str) -> DataFrame:
     """One row per query, missing slots empty."""
     asked = _asked(spark, base)
-    return submit.empty_padded(asked, pipeline.search(asked, _corpus(spark, base)))
+    return submit.empty_padded(asked, pipeline.search(asked, _corpus(spark, base), find=pipeline.scene_channels))
 
 
 @query(f"WITH RECURSIVE {_WIDE} SELECT count(*) AS n_rows, round(avg(CASE WHEN regexp_matches(coalesce(r[1].v, 'video_00000000'), '^video_[a-f0-9]+$') THEN 1.0 ELSE 0.0 END), 6) AS fill, 16 AS n_columns FROM wide")
@@ -572,7 +571,36 @@ def composite_recall(spark: SparkSession, base: str) -> DataFrame:
     """Quality of the search on past questions, whose fragments are known."""
     asked = _asked(spark, base)
     truth = asked.where(intervals.sound() & F.col("video_id").isNotNull()).select("query_id", F.col("video_id").alias("true_video"), F.col("start").alias("true_start"), F.col("end").alias("true_end"))
-    return submit.composite_recall(pipeline.search(asked, _corpus(spark, base)), truth)
+    return submit.composite_recall(pipeline.search(asked, _corpus(spark, base), find=pipeline.scene_channels), truth)
+
+
+def _full(spark: SparkSession, base: str) -> tuple[DataFrame, pipeline.Corpus]:
+    """Queries and corpus of all channels; the tables have no vectors of events and translations, so every text gets one of the encoder's stand-in."""
+    vec = lambda name: models.hashed_vector(F.col(name))
+    placed = intervals.sound() & F.col("video_id").isNotNull()
+    scenes = _corpus(spark, base).scenes.withColumn("vec", vec("summary"))
+    rows = table(spark, base, "train_qa")
+    indexed = rows.select("qa_id", docs.question_text(rows.columns, suffix_en=True).alias("_t"))
+    train = table(spark, base, "train_meta").where(placed).select("doc_id", "qa_id", "video_id", "start", "end", "question").join(indexed, "qa_id", "left")
+    train = train.withColumn("_t", F.coalesce("_t", "question")).withColumn("vec", vec("_t")).drop("_t", "qa_id")
+    events = docs.event_metadata(table(spark, base, "events_doc").where(placed)).distinct()
+    key = F.xxhash64("video_id", "event_idx", "start", "end", "event_summary")
+    events = events.select(key.alias("doc_id"), "video_id", "start", "end", "event_summary", vec("event_summary").alias("vec")).dropDuplicates(["doc_id"])
+    asked = _asked(spark, base).withColumn("own", F.col("query_id")).withColumns({"vec": vec("question"), "vec_en": vec("english")})
+    return cut(asked), pipeline.Corpus(cut(scenes), cut(train), cut(events))
+
+
+@query()
+def hybrid_search_full(spark: SparkSession, base: str) -> DataFrame:
+    """The five best fragments of every query, over past questions, scenes and events by both wordings."""
+    return pipeline.search(*_full(spark, base)).select("query_id", "slot", "video_id", "start", "end", "source", "reranker_score")
+
+
+@query()
+def submission_full(spark: SparkSession, base: str) -> DataFrame:
+    """One row per query of the search over all channels, missing slots repeat the last."""
+    asked, corpus = _full(spark, base)
+    return submit.padded(asked, pipeline.search(asked, corpus))
 
 
 @query(f"""WITH {_S}, {_OKS}, q AS (SELECT qa_id, {_STEM.replace("{x}", "video_file")} AS video_id, "start" AS b0, "end" AS b1 FROM train_qa WHERE {_OK})

@@ -142,6 +142,8 @@ class Pipeline:
         meta = docs.scene_metadata(self.read("scenes"))
         key = F.xxhash64("video_id", "scene_idx")
         self.write(meta.select(key.alias("doc_id"), "*", models.hashed_vector(F.col("summary"), self.dim).alias("vec")), "scenes_index")
+        events = docs.event_metadata(self.read("events"))
+        self.write(events.select(F.col("event_idx").alias("doc_id"), "*", models.hashed_vector(F.col("event_summary"), self.dim).alias("vec")), "events_index")
         train = self.given("train_qa")
         asked = train.select(F.col("qa_id").alias("doc_id"), docs.file_stem(F.col("video_file")).alias("video_id"), "start", "end", docs.question_text(train.columns).alias("question"), docs.question_text(train.columns, True).alias("_t"))
         self.write(asked.withColumn("vec", models.hashed_vector(F.col("_t"), self.dim)).drop("_t"), "train_index")
@@ -151,8 +153,8 @@ class Pipeline:
         has = readers.exists(self.spark, f"{self.inputs}/translations.parquet")
         other = self.given("translations") if has else self.spark.createDataFrame([], readers.TRANSLATIONS)
         texts = fusion.query_texts(given, other)
-        asked = texts.select("query_id", F.coalesce("main", F.lit("")).alias("question"), "english", models.hashed_vector(F.coalesce("main", F.lit("")), self.dim).alias("vec"))
-        corpus = pipeline.Corpus(self.read("scenes_index"), self.read("train_index"))
+        asked = texts.select("query_id", F.coalesce("main", F.lit("")).alias("question"), "english", models.hashed_vector(F.coalesce("main", F.lit("")), self.dim).alias("vec"), models.hashed_vector(F.col("english"), self.dim).alias("vec_en"))
+        corpus = pipeline.Corpus(self.read("scenes_index"), self.read("train_index"), self.read("events_index"))
         results = pipeline.search(asked, corpus, self.settings)
         self.write(results, "results")
         writers.csv_file(pipeline.submission(given, self.read("results"), self.settings).orderBy("query_id"), f"{self.root}/submission.csv")

@@ -50,3 +50,25 @@ def test_preprocess(spark, inputs):
     queries = spark.createDataFrame([(1, "ReD  balI blau"), (2, "привeт"), (3, None)], "query_id int, question string")
     got = {r.query_id: r.question for r in run.preprocess(queries, spark.read.parquet(f"{inputs}/train_qa.parquet"), russian=lambda df: df.withColumn("question", F.upper("question"))).collect()}
     assert got[2] == "ПРИВЕТ" and got[3] is None and len(got) == 3
+
+
+def test_search_covers_every_channel(spark):
+    """An event, a translation and a past question each bring what the scenes' main wording can't; ids of the tables overlap."""
+    from fragmenta.operators.models import hashed_vector
+    from fragmenta.plans import pipeline
+
+    def corpus(rows, name):
+        return spark.createDataFrame(rows, f"doc_id bigint, video_id string, start double, end double, {name} string").withColumn("vec", hashed_vector(F.col(name)))
+
+    scenes = corpus([(1, "video_0a", 0.0, 10.0, "red ball"), (2, "video_0b", 0.0, 10.0, "шар")], "summary")
+    events = corpus([(1, "video_0c", 0.0, 110.0, "шар синий"), (2, "video_0d", 0.0, 110.0, "red ball park")], "event_summary")
+    train = corpus([(1, "video_0e", 3.0, 9.0, "красный шар"), (2, "video_0f", 3.0, 9.0, "красный шар")], "question")
+    asked = spark.createDataFrame([(7, "красный шар", "red ball", 1)], "query_id bigint, question string, english string, own bigint")
+    asked = asked.withColumns({"vec": hashed_vector(F.col("question")), "vec_en": hashed_vector(F.col("english"))})
+    full = pipeline.Corpus(scenes, train, events)
+    rows = pipeline.candidates(asked, full).collect()
+    assert [s for _, s in sorted({(r.channel_ord, r.source) for r in rows})] == ["train_high", *[f"{way}_{kind}_{tag}" for tag in ("main", "en") for way in ("dense", "sparse") for kind in ("scenes", "events")]]
+    assert {r.video_id for r in rows if r.source == "train_high"} == {"video_0f"}  # without the query's own row
+    found = {r.video_id: r for r in pipeline.search(asked, full).collect()}
+    assert set(found) == {"video_0a", "video_0b", "video_0c", "video_0d", "video_0f"}
+    assert found["video_0f"].slot == 1 and found["video_0f"].reranker_score > 5 and found["video_0a"].score_en > found["video_0a"].score_main
