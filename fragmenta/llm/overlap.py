@@ -5,8 +5,8 @@ text and split, so exact copies never meet in pairs. Representatives get minwise
 hashes of their shingles (letter trigrams inside words: slips and moved words cost a
 few of them); banded buckets give candidates across the splits, those that share two
 buckets are kept. Exact Jaccard similarity of the shingles cuts them down, and a word
-alignment decides. Its open cases, two words a slip apart, are settled by how often
-each word is used in the whole corpus.
+alignment decides. Its open cases, two words a slip apart, are settled by how
+many other texts use each word.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmenta.llm.textnorm import skeleton, words
@@ -28,6 +28,8 @@ MIN_JACCARD = 0.55
 BANDS, ROWS = 96, 8
 #: Buckets that a pair shares at least: at a similarity of 0.75 this misses one pair in 2000, at 0.5 it lets one in 18 through.
 MIN_BUCKETS = 2
+#: How many times more other texts use a word than a slip of it. A name must be in use elsewhere.
+MIN_RATIO = 20
 #: Words that may differ between two wordings of one question.
 MAX_SLIPS = 6
 
@@ -215,12 +217,16 @@ def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tex
     texts = [r.select(F.col("rep").alias(f"rep_{n}"), F.col("tokens").alias(f"tokens_{n}"), F.col("names").alias(f"names_{n}")) for r, n in zip(reps, "ab")]
     decided = cut(near.join(texts[0], "rep_a").join(texts[1], "rep_b").mapInArrow(_verify, "rep_a bigint, rep_b bigint, open array<struct<x: string, y: string, name: boolean>>"))
     sure = decided.where(F.size("open") == 0).select("rep_a", "rep_b")
-    # How often the words in question are used, over all texts of both splits.
-    asked = decided.where(F.size("open") > 0).select("rep_a", "rep_b", F.inline("open"))
-    used = sides[0].unionByName(sides[1]).select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # How many other texts use the words in question; copies of a text count once, over both
+    # splits, and wordings that differ from the same text by the same slip don't count.
+    asked = decided.where(F.size("open") > 0).select("rep_a", "rep_b", F.inline("open")).distinct()
+    alike = {x: F.count("*").over(Window.partitionBy(rep, "x", "y")) for x, rep in (("own_x", "rep_b"), ("own_y", "rep_a"))}
+    asked = asked.withColumns(alike)
+    used = reps[0].unionByName(reps[1]).select("canon", F.explode("tokens").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
     nx, ny = used.withColumnsRenamed({"word": "x", "n": "nx"}), used.withColumnsRenamed({"word": "y", "n": "ny"})
-    least, most = F.least("nx", "ny"), F.greatest("nx", "ny")
-    slip = F.when(F.col("name"), (least <= 1) & (most > 2)).otherwise((least <= 2) | (least * 20 <= most))
+    other = [F.col("nx") - F.col("own_x"), F.col("ny") - F.col("own_y")]
+    least, most = F.least(*other) * MIN_RATIO, F.greatest(*other)
+    slip = F.when(F.col("name"), least < most).otherwise(least <= most)
     settled = asked.join(nx, "x").join(ny, "y").groupBy("rep_a", "rep_b").agg(F.every(slip).alias("slip")).where("slip").select("rep_a", "rep_b")
     pairs = exact.unionByName(sure).unionByName(settled).distinct()
     members = [

@@ -77,3 +77,15 @@ def test_alignment():
     assert overlap.align(["a", "kofalun", "b"], ["a", "kofalun", "b"], set()) == []
     assert overlap.align(["the", "station"], ["staiton"], set()) == [("station", "staiton")]
     assert overlap.align(["took", "5", "keys"], ["took", "6", "keys"], set()) is None
+
+
+def test_copies_of_a_slip_do_not_make_it_a_word(spark):
+    """A wording with a slip in a name or another word, sent once, 10 and 1,000 times."""
+    train = [(1, Q), (2, "Why does Pistebe laugh at the old captain?"), (3, "When is Pistebe allowed to leave the harbour?")]
+    slips = [Q.replace("Pistebe", "Pistbee"), Q.replace("anchor", "anhcor")]
+    for n in (1, 10, 1_000):
+        asked = [(i, slips[i % 2]) for i in range(2 * n)]
+        assert _pairs(spark, train, asked) == {(1, i) for i in range(2 * n)}
+    # A name that other texts use is a name, whatever copies the other has.
+    other = [(9, "Where does Pistbee work in the winter?")]
+    assert _pairs(spark, train + other, [(0, slips[0])] * 1_000) == set()
