@@ -89,3 +89,19 @@ def test_copies_of_a_slip_do_not_make_it_a_word(spark):
     # A name that other texts use is a name, whatever copies the other has.
     other = [(9, "Where does Pistbee work in the winter?")]
     assert _pairs(spark, train + other, [(0, slips[0])] * 1_000) == set()
+
+
+def test_band_search_reaches_the_stated_similarity(spark):
+    """Short questions with two slips, barely above the least similarity."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.sample("bcdfghjklmnpqrstvwxyz", 6))
+    turn = lambda w: w[:2] + w[3] + w[2] + w[4:]
+    train = [(i, [word() for _ in range(5)]) for i in range(60)]
+    asked = [(i, [turn(w[0]), turn(w[1]), *w[2:]]) for i, w in train]
+    for (_, a), (_, b) in zip(train, asked):
+        x, y = (set(overlap._grams(w)) for w in (a, b))
+        assert overlap.MIN_JACCARD <= len(x & y) / len(x | y) < 0.61
+    got = _pairs(spark, [(i, " ".join(w)) for i, w in train], [(i, " ".join(w)) for i, w in asked])
+    assert got <= {(i, i) for i in range(60)} and len(got) >= 58
