@@ -25,11 +25,11 @@ _FIELDS = (
 
 #: Grammar of unfilled slots, by delimiter.
 SLOTS = {
-    "double braces": rf"\{{\{{\s*{_NAME}\s*\}}\}}",
-    "statement tags": rf"\{{%-?\s*{_NAME}\s*-?%\}}",
-    "server tags": rf"<%[=-]?\s*{_NAME}\s*-?%>",
-    "dollar or hash braces": rf"[$#]\{{\s*{_NAME}\s*\}}",
-    "single braces": r"\{[\p{L}_][\p{L}\p{M}\p{N}_.]{1,60}\}|(?<![\p{L}\p{N})])\{\}",
+    "double braces": r"\{\{\s*[#/^>&]?\s*[\p{L}_][^{}\n]*+\}\}",
+    "statement tags": r"\{%-?\s*[\p{L}_][^%\n]*+%\}",
+    "server tags": r"<%[=-]?\s*[\p{L}_][^%\n]*+%>",
+    "dollar or hash braces": r"[$#]\{\s*[\p{L}_][^{}\n]*+\}",
+    "single braces": r"\{[\p{L}_][\p{L}\p{M}\p{N}_.]{1,60}\}|\{\{?\d{1,3}\}\}?|(?<![\p{L}\p{N})])\{\}",
     "double brackets": rf"\[\[\s*{_NAME}\s*\]\]",
     "percent": rf"%\({_NAME}\)[sdif]|%{_UPPER}%|(?<![\p{{L}}\p{{N}}%])%[sd](?![\p{{L}}\p{{N}}%])",
     "dollars": rf"\${_UPPER}\$",
@@ -63,7 +63,7 @@ _BLIND = (
 #: Filler: whole sentences, in letters without marks.
 FILLER = (
     rf"^\W*(?:(?:{'|'.join(_BLIND)}|et|ut|in|ac|at|id|eu|ex|non|ad|do|a|est|nec|sed)\b\W*){{4}}",
-    r"^\W*(?:(?:text|test|testing|tbd|tba|todo|asdf\w{0,20}|qwer\w{0,20}|zxcv\w{0,20}|foo|bar|baz|bla+h?|xxx+|текст|тест|рыба|фыва|ицукен|prueba|texto|texte)\b[\s,.;:-]*(?:\d{1,4}\b[\s,.;:-]*)?){3,12}$",
+    r"^\W*(?:(?:text|test|testing|tbd|tba|todo|asdf\w{0,20}|qwer\w{0,20}|zxcv\w{0,20}|foo|bar|baz|bla+h?|xxx+|текст|тест|рыба|фыва|ицукен|prueba|texto|texte)\b[\s,.;:-]*+(?:\d{1,4}\b[\s,.;:-]*+)?){3,}+$",
     r"(?:\b(?:tbd|tba|todo|fixme|asdf\w{0,20}|qwer\w{0,20}|zxcv\w{0,20}|фыва|ицукен)\b[\s,.;:-]+){2}(?:tbd|tba|todo|fixme|asdf|qwer|zxcv|фыва|ицукен)\b|\b(test|text|тест|текст) \1 (?:\d{1,4} )?\1\b",
     r"^\W*(?:(?:tbd|tba|todo|fixme)\b\W*){1,40}$|^\W*(?:todo|fixme|tbd|tba)\s*:",
     r"^\W*(?:sample|dummy|placeholder|filler|example|blind) text\b(?:\W*$|.{0,40}\b(?:replace|remove|delete|here))",
@@ -104,7 +104,7 @@ MESSAGE = rf"(?mU)^[^\w\n]{{0,20}}(?i:(?:(?:http|error|ошибка|помилк
 ERRORS = (
     r"^\W*(?:http(?:/[\d.]{1,3})?|error|ошибка|помилка|fehler|erreur|status|код)[\s:#]{1,2}[45]\d\d\s*(?:$|[:.,—-]\s)",
     r"^\W*(?:request|trace|error|ray) id:? [0-9a-f-]{6,}|^\W*код \d{3}, запрос [0-9a-f]{6,}",
-    r"traceback \(most recent call last\)|^\s*file \W[^\n]{1,80}, line \d+|^\W*(?:\w{2,40}(?:error|exception)): ?.{0,80}$",
+    r"traceback \(most recent call last\)|^\s*file \W[^\n]{1,80}, line \d+|^\W*(?:\w{2,40}(?:error|exception)): ?.*+$",
     r"cuda out of memory|out of memory(?:\.|:)? tried to allocate|segmentation fault|core dumped|exception in thread|stack trace:",
     r"^\W*tried to allocate \d",
     r"upstream (?:request |connect )?(?:timeout|error)|timeout after \d+ ?ms",

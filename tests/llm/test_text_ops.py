@@ -216,3 +216,10 @@ def test_long_runs_take_no_square_time(spark):
     if os.path.exists(bpe.VOCABULARY):
         assert bpe.encode(df).count() == len(runs)
     assert time.time() - began < 120
+
+
+def test_numbered_slots_and_long_residue(spark):
+    found = ["Смотрите {0} онлайн.", "The film was shot in {1} by {{2}}", 'By {{ user.get("name") | upper }} only', "By ${names[0] + (x or y)} only", "By {{ " + "long_name_" * 9 + " }} only", "blah " * 40, "foo bar " * 2_000, "ValueError: " + "could not read the part " * 30]
+    none = ["The set {1, 2, 48} is finite.", "A text {1,3} of numbers"]
+    df = spark.createDataFrame(list(enumerate(found + none)), "doc_id int, text string")
+    assert {r.doc_id for r in residue.residue(df).collect()} == set(range(len(found)))
