@@ -46,7 +46,7 @@ SLOTS = {
 #: Values that stand for nothing: two in a sentence, or nothing else in it.
 EMPTY_VALUES = r"(?:undefined|NULL|None|NaN|null|nil)"
 
-# Words of a sentence that explains templates, by stem.
+# Words of a sentence that explains templates, by stem, at the start of a word.
 _EXPLAINS = (
     r"\bboard\b|template|placeholder|\bslides?\b|syntax|variable|tutorial|шаблон|доск|дошц|слайд|переменн|змінн|синтаксис|"
     r"заполнитель|vorlage|\btafel|platzhalter|plantilla|pizarra|marcador|modèle|gabarit|au tableau"
@@ -185,7 +185,7 @@ def flagged(df: DataFrame, text_col: str = "text", to: str = "kinds") -> DataFra
     steps = _once(steps, names[1], F.regexp_replace(F.translate(raw, *_MARKED), "\\p{M}", ""))
     steps = _once(steps, names[2], F.regexp_replace(plain, '"[^"\n]{0,300}"', '""'))
     steps = _once(steps, names[3], F.lower(said))
-    content = rf"(?m)^(?!(?i:.*(?:{_EXPLAINS}))).*?"
+    content = rf"(?m)^(?!(?i:.*(?<!\p{{L}})(?:{_EXPLAINS}))).*?"
     slot = raw.rlike(r"[{\[<%$@]|__|\?\?\?|X{4}|Х{4}") & raw.rlike(f"{content}(?:{'|'.join(SLOTS.values())})")
     empty = rf"(?<![\p{{L}}\p{{N}}_]){EMPTY_VALUES}(?![\p{{L}}\p{{N}}_])"
     nothing = raw.rlike(EMPTY_VALUES) & raw.rlike(rf"{content}{empty}.*?{empty}|^[^\w\n]{{0,20}}{empty}[^\w\n]{{0,20}}$")

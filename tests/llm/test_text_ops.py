@@ -223,3 +223,10 @@ def test_numbered_slots_and_long_residue(spark):
     none = ["The set {1, 2, 48} is finite.", "A text {1,3} of numbers"]
     df = spark.createDataFrame(list(enumerate(found + none)), "doc_id int, text string")
     assert {r.doc_id for r in residue.residue(df).collect()} == set(range(len(found)))
+
+
+def test_a_name_that_holds_a_stem_explains_nothing(spark):
+    found = ["Брозадоск едет в __PLACE__ зимой.", "Зокрудоск ждёт {{name}} у моста."]
+    none = ["На доске написано {{name}} мелом."]
+    df = spark.createDataFrame(list(enumerate(found + none)), "doc_id int, text string")
+    assert {r.doc_id for r in residue.residue(df).collect()} == set(range(len(found)))
