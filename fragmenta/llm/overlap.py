@@ -10,6 +10,7 @@ many other texts use each word.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +25,12 @@ from fragmenta.session import cut
 
 #: Shingle similarity below which a few slips cannot explain the difference.
 MIN_JACCARD = 0.55
-#: A pair shares one bucket at least: at MIN_JACCARD this misses one pair in 115, at 0.6 one in 1,700 (calculated).
-BANDS, ROWS = 92, 5
+#: A pair shares one bucket at least: at MIN_JACCARD this misses one pair in 110, at 0.6 one in 900 (calculated).
+BANDS, ROWS = 49, 4
+#: Bits of the map of a text's shingles.
+BITS = 512
+#: Rows of one side up to which a bucket is compared by one task; a larger one is dealt out in pieces of this size.
+PIECE = 1_000
 #: How many times more other texts use a word than a slip of it. A name must be in use elsewhere.
 MIN_RATIO = 20
 #: Words that may differ between two wordings of one question.
@@ -52,16 +57,24 @@ aussi très si alors donc ici là bien juste vraiment exactement peut être mêm
 
 _SMALL = frozenset(skeleton(w) for w in SMALL_WORDS)
 _LONGER_SMALL = sorted(w for w in _SMALL if len(w) >= 5)
-_PRIME = (1 << 61) - 1
+_PAIR = "rep_a bigint, rep_b bigint, bucket bigint, side int, load binary"
+_PAIR_NAMES = [x.split()[0] for x in _PAIR.split(", ")]
+_RECORD = np.dtype([("rep", np.int64), ("size", np.int32), ("side", np.int32), ("map", np.uint64, (BITS // 64,))])
+
+
+def _word_grams(word: str, known: dict[str, tuple[int, ...]] = {}) -> tuple[int, ...]:  # noqa: B006 - a memory of words
+    """Hashed letter trigrams of a word, its edges marked."""
+    if word not in known:
+        if len(known) > 100_000:
+            known.clear()
+        w = f" {word} "
+        known[word] = tuple({zlib.crc32(w[i : i + 3].encode()) - (1 << 31) for i in range(max(1, len(w) - 2))})
+    return known[word]
 
 
 def _grams(tokens: list[str]) -> list[int]:
     """Hashed letter trigrams of the words, ascending."""
-    out = set()
-    for w in tokens:
-        w = f" {w} "
-        out.update(w[i : i + 3] for i in range(max(1, len(w) - 2)))
-    return sorted(zlib.crc32(g.encode()) - (1 << 31) for g in out)
+    return sorted({g for w in tokens for g in _word_grams(w)})
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,36 +84,56 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, lists, names = [], [], []
+        lists, names = [], []
         for text in batch.column("text").to_pylist():
             found = words(text) if text else []
-            tokens = [w for w, _ in found]
-            keep = any(c.isalpha() for w in tokens for c in w)
-            keys.append("".join(tokens) if keep else None)
-            lists.append(tokens)
-            names.append(sorted({w for w, name in found if name}))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(keys, pa.string()), pa.array(lists, pa.list_(pa.string())), pa.array(names, pa.list_(pa.string()))],
-            ["id", "canon", "tokens", "names"],
-        )
+            keep = any(c.isalpha() for w, _ in found for c in w)
+            lists.append(" ".join(w for w, _ in found) if keep else None)
+            names.append(" ".join(sorted({w for w, name in found if name})))
+        yield pa.RecordBatch.from_arrays([batch.column("side"), batch.column("id"), pa.array(lists, pa.string()), pa.array(names, pa.string())], ["side", "id", "words", "names"])
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes of trigrams with their bits mixed."""
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    return h ^ (h >> np.uint32(13))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets of each text, and a bitmap of its shingles by the parity of those that fall on a bit.
+
+    The bitmaps of two texts differ in no more bits than their shingles do, so a pair
+    whose bitmaps differ too much is below the least similarity for certain. The
+    numbers of a text, which must be equal, are part of its buckets.
+    """
     a, b = _permutations(BANDS * ROWS)
     mix = np.random.default_rng(21).integers(1, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * 2 + 1  # other for each band: a bucket belongs to one
     for batch in batches:
-        grams, bands = [], []
-        for tokens in batch.column("tokens").to_pylist():
-            g = _grams(tokens)
-            h = np.array(g, dtype=np.int32).view(np.uint32)
-            h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(13)
-            low = (h[:, None] * a + b).min(axis=0).reshape(BANDS, ROWS).astype(np.uint64)
-            grams.append(g)
-            bands.append(((low * mix).sum(axis=1) >> np.uint64(1)).astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("rep"), pa.array(grams, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))], ["rep", "grams", "bands"]
-        )
+        low, rows, numbers = np.empty((len(batch), BANDS * ROWS), np.uint32), np.zeros(len(batch), _RECORD), []
+        rows["side"], rows["rep"] = np.asarray(batch.column("side")), np.asarray(batch.column("rep"))
+        for row, text in enumerate(batch.column("words").to_pylist()):
+            tokens = text.split(" ")
+            g = np.array(_grams(tokens), np.int32)
+            h = _spread(g.view(np.uint32))
+            for at in range(0, len(h), 4096):  # of a long text a piece at a time
+                least = (h[at : at + 4096, None] * a + b).min(axis=0)
+                low[row] = least if at == 0 else np.minimum(low[row], least)
+            bits = np.bincount(h & np.uint32(BITS - 1), minlength=BITS) & 1
+            rows["map"][row] = np.packbits(bits.astype(np.uint8)).view(np.uint64)
+            rows["size"][row] = len(g)
+            digits = sorted(w for w in tokens if w.isdigit())
+            numbers.append(zlib.crc32(" ".join(digits).encode()) if digits else 0)
+        keys = (low.reshape(-1, BANDS, ROWS).astype(np.uint64) * mix).sum(axis=2)
+        keys = (keys ^ (np.array(numbers, np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) >> np.uint64(1)
+        flat = pa.array(keys.astype(np.int64).ravel())
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
+        yield pa.RecordBatch.from_arrays([bands, pa.array([r.tobytes() for r in rows], pa.binary())], ["bands", "record"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams = pa.array([_grams(t.split(" ")) for t in batch.column("words").to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), grams], ["rep", "grams"])
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -172,9 +205,9 @@ def _moved(a: list[str], b: list[str]) -> int:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right, pairs = [], [], []
-        for l, r, a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("rep_a", "rep_b", "tokens_a", "tokens_b", "names_a", "names_b"))):
-            names = {*n, *m}
-            found = align(a, b, names)
+        for l, r, a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("rep_a", "rep_b", "words_a", "words_b", "names_a", "names_b"))):
+            names = {*n.split(), *m.split()}
+            found = align(a.split(" "), b.split(" "), names)
             if found is not None:
                 left.append(l)
                 right.append(r)
@@ -183,15 +216,102 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(pairs, kind)], ["rep_a", "rep_b", "open"])
 
 
-def canonical(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, canon, tokens, names)``; rows without an id or a letter are left out."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.mapInArrow(_canonical, "id bigint, canon string, tokens array<string>, names array<string>").where("canon is not null")
+def canonical(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str) -> DataFrame:
+    """``(side, id, words, names)`` of both splits; rows without an id or a letter are left out."""
+    rows = [df.select(F.lit(side).alias("side"), F.col(i).cast("bigint").alias("id"), F.col(text_col).alias("text")) for side, df, i in ((0, left, left_id), (1, right, right_id))]
+    return rows[0].unionByName(rows[1]).where("id is not null").mapInArrow(_canonical, "side int, id bigint, words string, names string").where("words is not null")
 
 
 def _representatives(rows: DataFrame) -> DataFrame:
-    """One row per canonical text: the least id, the names ever written as such."""
-    return rows.groupBy("canon").agg(F.min("id").alias("rep"), F.min_by("tokens", "id").alias("tokens"), F.max_by("names", F.size("names")).alias("names"))
+    """One row per canonical text of a split: the least id, the names ever written as such."""
+    return rows.groupBy("side", F.replace("words", F.lit(" ")).alias("canon")).agg(F.min("id").alias("rep"), F.min_by("words", "id").alias("words"), F.max(F.struct(F.length("names"), "names")).getField("names").alias("names"))
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of records the bitmaps allow: J >= t means |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)."""
+    apart = np.bitwise_count(a["map"] ^ b["map"]).sum(axis=1, dtype=np.int64)
+    return apart * (1 + MIN_JACCARD) <= (1 - MIN_JACCARD) * (a["size"] + b["size"]) + 1e-9
+
+
+def _pairs_out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    n = len(a)
+    return pa.RecordBatch.from_arrays([pa.array(a["rep"]), pa.array(b["rep"]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_PAIR_NAMES)
+
+
+def _pieces_out(bucket: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of one hot bucket, ``PIECE`` of a side at most in a piece."""
+    for side in (0, 1):
+        mine = rows[rows["side"] == side]
+        loads = [mine[i : i + PIECE].tobytes() for i in range(0, len(mine), PIECE)]
+        n = len(loads)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([bucket] * n, pa.int64()), pa.array([side] * n, pa.int32()), pa.array(loads, pa.binary())], names=_PAIR_NAMES)
+
+
+def _block(a: np.ndarray, b: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each row of ``a`` with its run of ``b``, at most about ``PIECE ** 2`` pairs at once."""
+    done = np.cumsum(counts)
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PIECE * PIECE, "right")))
+        n = counts[lo:hi]
+        left = a[np.repeat(np.arange(lo, hi), n)]
+        right = b[np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[lo:hi], n)]
+        keep = _near(left, right)
+        yield _pairs_out(left[keep], right[keep])
+        lo = hi
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The near pairs of each bucket of a task, whose rows are sorted by bucket.
+
+    Of a bucket with more than ``PIECE`` rows of a side the rows are given on in pieces
+    instead, as they come, so no bucket is ever held as a whole.
+    """
+    hot, bucket, rows = None, np.empty(0, np.int64), np.empty(0, _RECORD)
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            more = np.frombuffer(b"".join(batch.column("record").to_pylist()), _RECORD)
+            bucket, rows = np.concatenate([bucket, np.asarray(batch.column("bucket"))]), np.concatenate([rows, more])
+            order = np.lexsort((rows["side"], bucket))
+            bucket, rows = bucket[order], rows[order]
+        if not len(rows):
+            continue
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        end = np.r_[first[1:], len(bucket)]
+        n1 = np.add.reduceat(rows["side"].astype(np.int64), first)
+        n0 = end - first - n1
+        whole = np.ones(len(first), bool)
+        whole[-1] = batch is None  # the last bucket may go on
+        big = (np.maximum(n0, n1) > PIECE) | (bucket[first] == hot if hot is not None else False)
+        for g in np.flatnonzero(big & (whole | (end - first > PIECE))):
+            hot = int(bucket[first[g]])
+            yield from _pieces_out(hot, rows[first[g] : end[g]])
+        both = np.flatnonzero(whole & ~big & (n0 > 0) & (n1 > 0))
+        left = np.repeat(first[both], n0[both]) + np.arange(n0[both].sum()) - np.repeat(np.cumsum(n0[both]) - n0[both], n0[both])
+        yield from _block(rows[left], rows, np.repeat(n1[both], n0[both]), np.repeat(first[both] + n0[both], n0[both]))
+        keep = first[-1] if not whole[-1] and not (big[-1] and end[-1] - first[-1] > PIECE) else len(rows)
+        bucket, rows = bucket[keep:], rows[keep:]
+
+
+def _meet_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(*(batch.column(n).to_pylist() for n in ("load_a", "load_b"))):
+            a, b = np.frombuffer(a, _RECORD), np.frombuffer(b, _RECORD)
+            yield from _block(a, b, np.full(len(a), len(b)), np.zeros(len(a), np.int64))
+
+
+def _met(signed: DataFrame) -> DataFrame:
+    """``(rep_a, rep_b)`` of the texts of the two splits that share a bucket and whose bitmaps allow the least similarity.
+
+    One shuffle by bucket; the sides meet where their bucket lies. The pieces of hot
+    buckets meet in pairs, spread over all tasks.
+    """
+    rows = signed.select(F.explode("bands").alias("bucket"), "record").repartition("bucket").sortWithinPartitions("bucket")
+    met = cut(rows.mapInArrow(_meet, _PAIR))
+    pieces = met.where("bucket is not null")
+    a, b = (pieces.where(F.col("side") == side).select("bucket", F.col("load").alias(f"load_{n}")) for side, n in ((0, "a"), (1, "b")))
+    dealt = a.join(b, "bucket").repartition(F.xxhash64("load_a", "load_b")).mapInArrow(_meet_pieces, _PAIR)
+    return met.where("bucket is null").unionByName(dealt).select("rep_a", "rep_b").distinct()
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str = "question") -> DataFrame:
@@ -201,17 +321,17 @@ def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tex
     part. Repeated rows give one pair for each distinct pair of ids. An empty split
     gives no rows. Further columns are ignored, whatever their names.
     """
-    sides = [cut(canonical(df, i, text_col)) for df, i in ((left, left_id), (right, right_id))]
-    reps = [cut(_representatives(s)) for s in sides]
-    signed = [cut(r.select("rep", "tokens").mapInArrow(_sign, "rep bigint, grams array<int>, bands array<bigint>")) for r in reps]
-    exact = reps[0].select("canon", F.col("rep").alias("rep_a")).join(reps[1].select("canon", F.col("rep").alias("rep_b")), "canon").select("rep_a", "rep_b")
-    banded = [s.select(F.col("rep").alias(n), F.explode("bands").alias("bucket")) for s, n in zip(signed, ("rep_a", "rep_b"))]
-    candidates = banded[0].join(banded[1], "bucket").select("rep_a", "rep_b").distinct()
-    grams = [s.select(F.col("rep").alias(f"rep_{n}"), F.col("grams").alias(f"grams_{n}")) for s, n in zip(signed, "ab")]
-    near = candidates.join(grams[0], "rep_a").join(grams[1], "rep_b")
+    rows = cut(canonical(left, right, left_id, right_id, text_col))
+    reps = cut(_representatives(rows))
+    split = [reps.where(F.col("side") == side) for side in (0, 1)]
+    exact = split[0].select("canon", F.col("rep").alias("rep_a")).join(split[1].select("canon", F.col("rep").alias("rep_b")), "canon").select("rep_a", "rep_b")
+    signed = reps.select("side", "rep", "words").mapInArrow(_sign, "bands array<bigint>, record binary")
+    near = _met(signed)
+    for s, n in zip(split, "ab"):
+        near = near.join(s.select("rep", "words").mapInArrow(_shingled, "rep bigint, grams array<int>").toDF(f"rep_{n}", f"grams_{n}"), f"rep_{n}")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     near = near.where(shared >= MIN_JACCARD * (F.size("grams_a") + F.size("grams_b") - shared)).select("rep_a", "rep_b")
-    texts = [r.select(F.col("rep").alias(f"rep_{n}"), F.col("tokens").alias(f"tokens_{n}"), F.col("names").alias(f"names_{n}")) for r, n in zip(reps, "ab")]
+    texts = [s.select(F.col("rep").alias(f"rep_{n}"), F.col("words").alias(f"words_{n}"), F.col("names").alias(f"names_{n}")) for s, n in zip(split, "ab")]
     decided = cut(near.join(texts[0], "rep_a").join(texts[1], "rep_b").mapInArrow(_verify, "rep_a bigint, rep_b bigint, open array<struct<x: string, y: string, name: boolean>>"))
     sure = decided.where(F.size("open") == 0).select("rep_a", "rep_b")
     # How many other texts use the words in question; copies of a text count once, over both
@@ -219,15 +339,15 @@ def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tex
     asked = decided.where(F.size("open") > 0).select("rep_a", "rep_b", F.inline("open")).distinct()
     alike = {x: F.count("*").over(Window.partitionBy(rep, "x", "y")) for x, rep in (("own_x", "rep_b"), ("own_y", "rep_a"))}
     asked = asked.withColumns(alike)
-    used = reps[0].unionByName(reps[1]).select("canon", F.explode("tokens").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
+    once = split[0].unionByName(split[1].join(split[0].select("canon"), "canon", "left_anti").select(*reps.columns))
+    used = once.select(F.explode(F.array_distinct(F.split("words", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     nx, ny = used.withColumnsRenamed({"word": "x", "n": "nx"}), used.withColumnsRenamed({"word": "y", "n": "ny"})
     other = [F.col("nx") - F.col("own_x"), F.col("ny") - F.col("own_y")]
     least, most = F.least(*other) * MIN_RATIO, F.greatest(*other)
     slip = F.when(F.col("name"), least < most).otherwise(least <= most)
     settled = asked.join(nx, "x").join(ny, "y").groupBy("rep_a", "rep_b").agg(F.every(slip).alias("slip")).where("slip").select("rep_a", "rep_b")
     pairs = exact.unionByName(sure).unionByName(settled).distinct()
-    members = [
-        s.select("id", "canon").join(r.select("canon", "rep"), "canon").select(F.col("rep").alias(f"rep_{n}"), F.col("id").alias(i))
-        for s, r, n, i in zip(sides, reps, "ab", (left_id, right_id))
-    ]
-    return pairs.join(members[0], "rep_a").join(members[1], "rep_b").select(left_id, right_id).distinct()
+    members = rows.select("side", "id", F.replace("words", F.lit(" ")).alias("canon")).join(reps.select("side", "canon", "rep"), ["side", "canon"])
+    for side, n, i in ((0, "a", left_id), (1, "b", right_id)):
+        pairs = pairs.join(members.where(F.col("side") == side).select(F.col("rep").alias(f"rep_{n}"), F.col("id").alias(i)), f"rep_{n}")
+    return pairs.select(left_id, right_id).distinct()

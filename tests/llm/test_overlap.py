@@ -105,3 +105,12 @@ def test_band_search_reaches_the_stated_similarity(spark):
         assert overlap.MIN_JACCARD <= len(x & y) / len(x | y) < 0.61
     got = _pairs(spark, [(i, " ".join(w)) for i, w in train], [(i, " ".join(w)) for i, w in asked])
     assert got <= {(i, i) for i in range(60)} and len(got) >= 58
+
+
+def test_hot_buckets_are_dealt_out(spark, monkeypatch):
+    """With buckets of two rows a side at most the same pairs come out."""
+    train = [(i, Q.replace("anchor", w)) for i, w in enumerate(("anchor", "ancor", "anchr", "anhcor", "acnhor", "anchorr", "key"))]
+    asked = [(i, f"{i}) {t}") for i, t in train]
+    want = _pairs(spark, train, asked)
+    monkeypatch.setattr(overlap, "PIECE", 2)
+    assert len(want) > 7 and _pairs(spark, train, asked) == want
