@@ -314,6 +314,20 @@ def _met(signed: DataFrame) -> DataFrame:
     return met.where("bucket is null").unionByName(dealt).select("rep_a", "rep_b").distinct()
 
 
+def near_pairs(reps: DataFrame) -> DataFrame:
+    """``(rep_a, rep_b)`` of the texts of side 0 and side 1 with a similarity of at least ``MIN_JACCARD`` and equal numbers.
+
+    ``reps(side, rep, words)``. Banded buckets propose, the exact Jaccard similarity of
+    the shingles decides.
+    """
+    near = _met(reps.select("side", "rep", "words").mapInArrow(_sign, "bands array<bigint>, record binary"))
+    for side, n in ((0, "a"), (1, "b")):
+        grams = reps.where(F.col("side") == side).select("rep", "words").mapInArrow(_shingled, "rep bigint, grams array<int>")
+        near = near.join(grams.toDF(f"rep_{n}", f"grams_{n}"), f"rep_{n}")
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    return near.where(shared >= MIN_JACCARD * (F.size("grams_a") + F.size("grams_b") - shared)).select("rep_a", "rep_b")
+
+
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str = "question") -> DataFrame:
     """``(<left_id>, <right_id>)`` of rows of the two splits that ask the same.
 
@@ -325,12 +339,7 @@ def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tex
     reps = cut(_representatives(rows))
     split = [reps.where(F.col("side") == side) for side in (0, 1)]
     exact = split[0].select("canon", F.col("rep").alias("rep_a")).join(split[1].select("canon", F.col("rep").alias("rep_b")), "canon").select("rep_a", "rep_b")
-    signed = reps.select("side", "rep", "words").mapInArrow(_sign, "bands array<bigint>, record binary")
-    near = _met(signed)
-    for s, n in zip(split, "ab"):
-        near = near.join(s.select("rep", "words").mapInArrow(_shingled, "rep bigint, grams array<int>").toDF(f"rep_{n}", f"grams_{n}"), f"rep_{n}")
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    near = near.where(shared >= MIN_JACCARD * (F.size("grams_a") + F.size("grams_b") - shared)).select("rep_a", "rep_b")
+    near = near_pairs(reps)
     texts = [s.select(F.col("rep").alias(f"rep_{n}"), F.col("words").alias(f"words_{n}"), F.col("names").alias(f"names_{n}")) for s, n in zip(split, "ab")]
     decided = cut(near.join(texts[0], "rep_a").join(texts[1], "rep_b").mapInArrow(_verify, "rep_a bigint, rep_b bigint, open array<struct<x: string, y: string, name: boolean>>"))
     sure = decided.where(F.size("open") == 0).select("rep_a", "rep_b")

@@ -114,3 +114,19 @@ def test_hot_buckets_are_dealt_out(spark, monkeypatch):
     want = _pairs(spark, train, asked)
     monkeypatch.setattr(overlap, "PIECE", 2)
     assert len(want) > 7 and _pairs(spark, train, asked) == want
+
+
+def test_recall_of_the_buckets(spark):
+    """At least 0.95 of all pairs of the stated similarity, counted by comparing all with all."""
+    import random
+
+    rng = random.Random(8)
+    names = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    things, places = ["rusty key", "torn map", "blue bicycle", "chess clock", "wooden whistle"], ["in the greenhouse", "under the bridge", "behind the bakery", "on the night ferry"]
+    make = lambda: f"why does {rng.choice(names)} refuse to hand over the {rng.choice(things)} when {rng.choice(names)} asks {rng.choice(places)}"
+    texts = [[make() for _ in range(400)] for _ in range(2)]
+    grams = [[set(overlap._grams(t.split(" "))) for t in side] for side in texts]
+    true = {(i, j) for i, x in enumerate(grams[0]) for j, y in enumerate(grams[1]) if len(x & y) >= overlap.MIN_JACCARD * len(x | y)}
+    reps = spark.createDataFrame([(s, i, t) for s, side in enumerate(texts) for i, t in enumerate(side)], "side int, rep bigint, words string")
+    got = {tuple(r) for r in overlap.near_pairs(reps).collect()}
+    assert len(true) > 1_000 and got <= true and len(got) >= 0.95 * len(true)
