@@ -2,8 +2,10 @@
 
 All of it is Catalyst expressions: texts are brought to one sentence a line, and each
 kind is one grammar over the lines. What is quoted or stands in code is blanked first,
-so content that cites such texts doesn't count; slots in a sentence that explains
-templates don't either. No row leaves its partition: there is no shuffle.
+so content that cites such texts doesn't count. Slots are then weighed in their
+surroundings: a sentence that speaks about slots, or stands beside one that does, is a
+tutorial's as long as its slots are few among its words; where they are dense, it is a
+template whatever it says. No row leaves its partition: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -52,6 +54,23 @@ _EXPLAINS = (
     r"заполнитель|vorlage|\btafel|platzhalter|plantilla|pizarra|marcador|modèle|gabarit|au tableau"
 )
 
+# What is done with a slot that is spoken about, right before it.
+_NAMED = (
+    r"(?:writ|typ|put|enter|us|add|past|insert|replac|say|call|nam|print|show|mean|expand|mark|see)(?:e|es|ing|s|ed|ten|t)?|wrote|said|tag|field|token|braces|brackets|"
+    r"(?:на|в)?пи(?:шет|шут|шите|сать|сали|сан[аоы]?)|введ\p{L}+|ввод\p{L}+|встав\p{L}+|замен\p{L}+|означа\p{L}+|пол[ея]|тег|впиш\p{L}+|уведіть|вводить|пиш[еуі]\p{L}*|означає|"
+    r"schreib\p{L}*|tipp\p{L}*|eingeb\p{L}*|gib|bedeutet|feld|escrib\p{L}*|teclea\p{L}*|pon(?:e|er|ga)|significa|campo|écri\p{L}*|tape[rz]?|saisi\p{L}*|signifie|champ"
+)
+# What becomes of a slot that is spoken about, right after it.
+_BECOMES = (
+    r"becomes|means|stands for|is (?:replaced|filled|turned|rendered|expanded|the)|gets|will be replaced|expands|renders|"
+    r"станов\p{L}+|означа\p{L}+|превра\p{L}+|замен\p{L}+|стає|wird|steht für|bedeutet|ersetzt|se (?:convierte|sustituye|reemplaza)|significa|devient|signifie|est remplacée?"
+)
+# The same at the end of a clause.
+_LATER = "schreiben|eintragen|eingeben|einsetzen|einfügen|tippen"
+
+#: Words that a sentence needs for each slot in it to be one about slots.
+WORDS_A_SLOT = 4
+
 # Words of blind text.
 _BLIND = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua "
@@ -97,8 +116,22 @@ _MESSAGES = (
     r"page (?:introuvable|non trouvee)|acces (?:refuse|interdit)|erreur (?:interne )?du serveur|trop de requetes|service (?:temporairement )?indisponible"
 )
 
-#: One of them as a whole sentence, or before a sentence that a line begins with.
-MESSAGE = rf"(?mU)^[^\w\n]{{0,20}}(?i:(?:(?:http|error|ошибка|помилка|fehler|erreur|код|code)?[\s:#-]{{0,3}}[1-5]\d\d\b[\s:.,—-]{{1,4}})?(?:{_MESSAGES}))(?:[^\w\n]{{0,20}}$|\s+(?=\p{{Lu}}))"
+# How a story goes on after words that a page might also say.
+_STORY = r"he|she|they|we|i|that was|it was|those were|the (?:words?|sign|voice)|он|она|они|мы|я|это был\w?|так|er|sie (?:war|ging)|das war|ella|ellos|era|il (?:se|a|est)|elle|c.etait|вiн|вона|вони|він"
+
+# Things that a page fails to give, and what it fails to do with them.
+_LOST = (
+    r"(?:(?:this|the|that|requested|your|some) )?(?:page|item|content|video|clip|file|image|picture|resource|media|post|article|section|data|player)s? (?:could|can) ?(?:not|n.t) be (?:loaded|displayed|shown|found|reached|opened|played|retrieved|processed)|"
+    r"(?:unable|failed) to (?:load|display|play|open|fetch|retrieve|reach) (?:the |this )?(?:page|item|content|video|clip|file|image|resource|media|data)|(?:the |this )?(?:page|item|content|video|clip|image|resource|media) failed to load|"
+    r"не удалось (?:загрузить|открыть|показать|воспроизвести|получить|наити) (?:страницу|видео|фаил|контент|данные|изображение|ролик|материал)|(?:страница|видео|контент|изображение|ролик) не (?:загружен\w?|загрузил\w{1,2}|воспроизводится)|ошибка загрузки|"
+    r"не вдалося (?:завантажити|вiдкрити|відкрити|показати|вiдтворити|відтворити) (?:сторiнку|сторінку|вiдео|відео|фаил|вмiст|вміст|зображення)|"
+    r"(?:(?:die|das|der|diese[rs]?) )?(?:seite|video|datei|inhalt|element|bild) (?:konnte|kann) (?:derzeit |zurzeit |momentan )?nicht (?:geladen|angezeigt|gefunden|abgespielt|geoffnet) werden|"
+    r"no se (?:pudo|puede|ha podido) (?:cargar|mostrar|reproducir|abrir|encontrar) (?:la |el |este |esta )?(?:pagina|video|archivo|contenido|imagen|elemento)|"
+    r"(?:cette |ce |le |la |l.)?(?:page|video|fichier|contenu|image|element) n.a pas pu etre (?:chargee?|affichee?|lue?|ouverte?|trouvee?)|impossible de (?:charger|afficher|lire|ouvrir) (?:cette |ce |le |la |l.)?(?:page|video|fichier|contenu|image|element)"
+)
+
+#: One of them as a whole sentence that no story goes on from, or before a sentence that a line begins with.
+MESSAGE = rf"(?mU)^[^\w\n]{{0,20}}(?i:(?:(?:http|error|ошибка|помилка|fehler|erreur|код|code)?[\s:#-]{{0,3}}[1-5]\d\d\b[\s:.,—-]{{1,4}})?(?:{_MESSAGES}|(?:{_LOST})[^.!?\n]{{0,40}}))(?:[^\w\n]{{0,20}}$(?!\n\W{{0,5}}(?i:{_STORY})\b)|\s+(?=\p{{Lu}}))"
 
 #: Error pages and failed programs.
 ERRORS = (
@@ -130,20 +163,34 @@ NOTICES = (
     rf"^\W*(?:щоб|для)\b[^\n]{{0,60}}\bувiмкнiть {_JS}|^\W*(?:щоб|для)\b[^\n]{{0,60}}\bувімкніть {_JS}|^\W*увімкніть {_JS}|^\W*у вашому браузері вимкнено {_JS}",
     rf"^\W*(?:bitte )?(?:aktivieren|erlauben) sie {_JS}|^\W*(?:diese|dieses) (?:seite|video) (?:benotigt|braucht|erfordert) {_JS}",
     rf"^\W*(?:debes|tienes que|necesitas|hay que|por favor,?)\b[^\n]{{0,30}}\b(?:activar|habilitar|activa|habilita|active|habilite) {_JS}|^\W*(?:activa|active|habilita|habilite) {_JS}|^\W*est[ae] (?:pagina|video) (?:necesita|requiere) {_JS}",
+    rf"^\W*{_JS} (?:est|sont|ist|sind|wird|werden|es|son|esta|estan|є|е) (?:requis\w*|necessaires?|desactive\w*|bloque\w*|erforderlich|deaktiviert|notwendig|benotigt|necesari\w*|obligatori\w*|desactivad\w*|bloquead\w*|потрiб\w*|потріб\w*)",
+    rf"^\W*(?:требуется|необходим\w?|нужен|потрiбен|потрібен|se requiere|se necesita|necesita|benotigt|erfordert|necessite|requiert) {_JS}\b|^\W*{_JS} (?:требуется|необходим\w?|нужен|обязателен)|^[^\n]{{0,60}}\b(?:требует|потребуе|benotigt|erfordert|requiere|necessite|requiert) {_JS}\b",
+    rf"^\W*(?:без|sans|ohne|sin|without) {_JS}\b[^\n]{{0,60}}\b(?:не|pas|nicht|no|not|cannot)\b",
     rf"^\W*(?:veuillez )?(?:activer|activez|autorisez|autoriser) (?:les )?{_JS}|^\W*(?:cette page|ce site|cette video) (?:necessite|requiert|a besoin)",
 )
 
 # Strings without which no unbound pattern of a kind can match.
 ERROR_HINTS = ("traceback", "file ", "out of memory", "segmentation", "core dumped", "exception in", "stack trace", "upstream", "timeout after", "<title>", "<h1>")
 FILLER_HINTS = ("tbd", "tba", "todo", "fixme", "asdf", "qwer", "zxcv", "фыва", "ицукен", "test", "text", "тест", "текст")
-NOTICE_HINTS = ("<noscript", "robot", "human", "не работает без", "подтвердите")
+NOTICE_HINTS = ("script", "cookies", "скрипт", "browser", "robot", "human", "робот", "seconds", "them and reload", "necessite", "requiert", "a besoin", "браузер")
+SLOT_HINTS = ("{", "[", "<", "%", "$", "@", "__", "???", "XXXX", "ХХХХ")
+EMPTY_HINTS = ("undefined", "NULL", "None", "NaN", "null", "nil")
 
 _QUOTED = "«[^«»\n]{0,300}»|“[^”\n]{0,300}”|„[^“”\n]{0,300}[“”]|‹[^›\n]{0,300}›"
-_CODE = "```[^`]{0,20000}```|`[^`\n]{1,300}`"
+_CODE = "```[^`]{0,20000}```|~~~[^~]{0,20000}~~~|`[^`\n]{1,300}`"
+#: Lines set in after an empty line or a colon, but for markup.
+_SET_IN = r"(?<=\n[ \t\r]{0,3}\n|:\r?\n)(?:(?: {4}|\t)[ \t]{0,40}[^<\s][^\n]*+\n?)+"
+# Odd spaces, and signs that are left out.
+_SPACES = "\u00a0" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u202f\u3000\t"
+_DROPPED = "".join(chr(c) for c in range(0x200B, 0x2010)) + "\u2060\ufeff\u00ad\r"
 # Letters with marks and the letter without.
 _MARKED = ("йёїѐàáâãäåçèéêëìíîïñòóôõöùúûüýÿЙЁЇЀÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "иеiеaaaaaaceeeeiiiinooooouuuuyyИЕIЕAAAAAACEEEEIIIINOOOOOUUUUY")
 
 
+def _has(text: Column, strings: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in strings])
+
+
 def _matches(text: Column, patterns: tuple[str, ...], hints: tuple[str, ...]) -> Column:
     """Whether any pattern is found.
 
@@ -154,19 +201,51 @@ def _matches(text: Column, patterns: tuple[str, ...], hints: tuple[str, ...]) ->
     single = [p for x in patterns for p in x.replace("|" + start, "\0" + start).split("\0")]
     bound = "|".join(p.removeprefix(start) for p in single if p.startswith(start))
     free = "|".join(p for p in single if not p.startswith(start))
-    hinted = reduce(Column.__or__, [F.contains(text, F.lit(h)) for h in hints])
-    return text.rlike(f"(?mU)^[^\\w\n]{{0,20}}(?:{bound})") | (hinted & text.rlike(f"(?mU){free}"))
+    return text.rlike(f"(?mU)^[^\\w\n]{{0,20}}(?:{bound})") | (_has(text, hints) & text.rlike(f"(?mU){free}"))
 
 
 def _lines(text: Column, masked: str) -> Column:
     """One sentence a line, with what ``masked`` matches blanked."""
-    text = F.regexp_replace(text, "[\\u00a0\\u2000-\\u200a\\u202f\\u3000\\t]", " ")
-    text = F.regexp_replace(text, "[\\u200b-\\u200f\\u2060\\ufeff\\u00ad]|\r", "")
+    text = F.when(F.contains(text, F.lit("\n    ")) | F.contains(text, F.lit("\n\t")), F.regexp_replace(text, _SET_IN, "“”\n")).otherwise(text)
+    text = F.translate(text, _SPACES + _DROPPED, " " * len(_SPACES))
     text = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "\n{2,}", "\n")
     text = F.regexp_replace(text, masked, "“”")
     return F.regexp_replace(text, "(?<=[.!?…])[ ]+", "\n")
 
 
+_SLOT = "|".join(SLOTS.values())
+_EMPTY = rf"(?<![\p{{L}}\p{{N}}_]){EMPTY_VALUES}(?![\p{{L}}\p{{N}}_])"
+_ABOUT = rf"(?i)(?<!\p{{L}})(?:{_EXPLAINS})"
+
+
+def _stands(text: Column, pattern: str, least: int) -> Column:
+    """Whether ``least`` matches stand in some sentence (or one is all of it) that isn't about them.
+
+    A sentence is about its slots if it has a word about templates, if one without a
+    slot beside it has, or if a slot is named or explained right where it stands, and if
+    it has ``WORDS_A_SLOT`` words for each.
+    """
+    spoken = rf"(?i)(?<!\p{{L}})(?:{_NAMED})[\s:“”]{{1,3}}(?:\p{{L}}{{1,8}} )?(?-i:{pattern})|(?-i:{pattern})(?:[\s“”]{{1,3}}(?:{_BECOMES})|[^\n]{{0,80}}[\s“”](?:{_LATER}))(?!\p{{L}})"
+
+    def one(line: Column) -> Column:
+        n = F.size(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))
+        words = F.regexp_replace(line, pattern, " ")
+        return F.struct(
+            n.alias("n"), F.when(n > 0, F.size(F.regexp_extract_all(words, F.lit("\\p{L}[\\p{L}\\p{M}]+"), F.lit(0)))).otherwise(0).alias("words"),
+            words.rlike(_ABOUT).alias("about"), ((n > 0) & line.rlike(spoken)).alias("spoken"),
+        )
+
+    def judged(lines: Column) -> Column:
+        def residue(x: Column, i: Column) -> Column:
+            beside = reduce(Column.__or__, [F.coalesce(F.get(lines, i + d)["about"] & (F.get(lines, i + d)["n"] == 0), F.lit(False)) for d in (-1, 1)])
+            about = (x["about"] | x["spoken"] | beside) & (x["n"] * WORDS_A_SLOT <= x["words"])
+            return (((x["n"] >= least) & ~about) | ((x["n"] > 0) & (x["words"] == 0))).alias("residue")
+
+        return F.exists(F.transform(lines, residue), lambda x: x)
+
+    return F.element_at(F.transform(F.array(F.transform(F.split(text, "\n"), one)), judged), 1)
+
+
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column behind a generator, through which no expression is copied."""
     return df.select("*", F.explode(F.array(value)).alias(name))
@@ -185,12 +264,10 @@ def flagged(df: DataFrame, text_col: str = "text", to: str = "kinds") -> DataFra
     steps = _once(steps, names[1], F.regexp_replace(F.translate(raw, *_MARKED), "\\p{M}", ""))
     steps = _once(steps, names[2], F.regexp_replace(plain, '"[^"\n]{0,300}"', '""'))
     steps = _once(steps, names[3], F.lower(said))
-    content = rf"(?m)^(?!(?i:.*(?<!\p{{L}})(?:{_EXPLAINS}))).*?"
-    slot = raw.rlike(r"[{\[<%$@]|__|\?\?\?|X{4}|Х{4}") & raw.rlike(f"{content}(?:{'|'.join(SLOTS.values())})")
-    empty = rf"(?<![\p{{L}}\p{{N}}_]){EMPTY_VALUES}(?![\p{{L}}\p{{N}}_])"
-    nothing = raw.rlike(EMPTY_VALUES) & raw.rlike(rf"{content}{empty}.*?{empty}|^[^\w\n]{{0,20}}{empty}[^\w\n]{{0,20}}$")
+    slot, nothing = _has(raw, SLOT_HINTS) & raw.rlike(_SLOT), _has(raw, EMPTY_HINTS) & raw.rlike(_EMPTY)
+    slot, nothing = (F.when(c, _stands(raw, p, n)).otherwise(False) for c, p, n in ((slot, _SLOT, 1), (nothing, _EMPTY, 2)))
     error = said.rlike(MESSAGE) | _matches(low, ERRORS, ERROR_HINTS) | (F.contains(plain, F.lit("{")) & F.lower(plain).rlike(f"(?mU){JSON_ERROR}"))
-    filler, notice = _matches(low, FILLER, FILLER_HINTS), _matches(low, NOTICES, NOTICE_HINTS)
+    filler, notice = _matches(low, FILLER, FILLER_HINTS), _has(low, NOTICE_HINTS) & _matches(low, NOTICES, NOTICE_HINTS)
     found = F.array(*[F.when(c, F.lit(k)) for k, c in (("slot", slot), ("empty_value", nothing), ("filler", filler), ("error", error), ("notice", notice))])
     return _once(steps, to, F.when(F.length(F.trim(raw)) > 0, F.array_compact(found)).otherwise(F.array().cast("array<string>"))).drop(*names)
 

@@ -230,3 +230,18 @@ def test_a_name_that_holds_a_stem_explains_nothing(spark):
     none = ["На доске написано {{name}} мелом."]
     df = spark.createDataFrame(list(enumerate(found + none)), "doc_id int, text string")
     assert {r.doc_id for r in residue.residue(df).collect()} == set(range(len(found)))
+
+
+def test_surroundings_and_density_of_slots(spark):
+    none = [
+        "In a mail merge {{first_name}} becomes the name of whoever reads the letter.", "The guide says to write ${HOME} in the shell.", "Then save it like this:\n\n    Dear {{name}},\n    welcome to {{city}}\n\nand send it.",
+        "So it looks:\n~~~\nDear {{name}},\n~~~\nand that is all.", "Access denied. He turned away from the door.", "Forbidden. That was the word on the gate.", "A placeholder marks what comes later. In this letter {{name}} will hold the reader's own name.",
+        "Er soll {{name}} in die erste Zeile des Briefes schreiben, sagt sie.", "Ученик вводит {{имя}} и смотрит, что выйдет.",
+    ]
+    found = [
+        "Template: [NAME], [CITY], [DATE].", "Welcome, {{name}}, to {{city}}!", "На доске [YEAR]: __PLACE__ и [NAME]", "This item could not be loaded at this time.", "JavaScript est requis.", "Impossible de charger la vidéo.", "Не удалось загрузить видео.",
+        "Diese Seite benötigt JavaScript.", "Access denied. Contact your administrator.", "Forbidden.", "The placeholder was never filled. {{name}} goes to {{place}} and {{hero}} waits.", "JavaScript ist erforderlich", "No se pudo cargar el contenido.",
+    ]
+    df = spark.createDataFrame(list(enumerate(found + none)), "doc_id int, text string")
+    got = {r.doc_id for r in residue.residue(df).collect()}
+    assert got == set(range(len(found))), [(found + none)[i] for i in got ^ set(range(len(found)))]
