@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +19,9 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; it is used as it is. Only where
-    that is unset (tests, a laptop) a temporary folder is made for this session.
+    A cluster names it in ``spark.checkpoint.dir``; it is used as it is. Only where that
+    is unset and everything runs on this machine (tests, a laptop) a temporary folder is
+    made, which goes with the process.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -25,7 +30,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fragmenta-"))
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="fragmenta-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        sc.setCheckpointDir(made)
     return sc.getCheckpointDir()
 
 
@@ -37,3 +46,21 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, below one folder for each application.
+
+    As ``cut``, for results that are read several times and a few columns at a time.
+    """
+    spark = df.sparkSession
+    place = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes what ``written`` left in the checkpoint folder; call it when the results are saved."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}")
+    with contextlib.suppress(Exception):  # gone already
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
