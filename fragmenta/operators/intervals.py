@@ -50,31 +50,49 @@ def _level(length: Column) -> Column:
     return level.otherwise(len(WIDTHS) - 1)
 
 
-def _dealt(df: DataFrame, start: str, end: str, own_meets: str, guest_meets: str) -> DataFrame:
-    """One row for each cell that an interval lies in, at its own level and as a guest at all wider ones.
+def _celled(df: DataFrame, start: str, end: str) -> DataFrame:
+    """One row for each cell of its ``level`` that an interval lies in."""
+    width = F.element_at(F.array(*[F.lit(w) for w in WIDTHS]), F.col("level") + 1)
+    return df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(start) / width).cast("bigint"), F.floor(F.col(end) / width).cast("bigint"))))
+
+
+def _own(df: DataFrame, start: str, end: str) -> DataFrame:
+    return _celled(df.withColumn("level", _level(F.col(end) - F.col(start))), start, end)
+
 
-    ``meet`` says whom a row meets in its cell: own rows meet the own rows and the guests
-    of the other side, guests meet own rows only, so no two guests ever meet.
+def _guests(df: DataFrame, other: DataFrame, key: str, span: tuple[str, str], other_span: tuple[str, str]) -> DataFrame:
+    """The rows in cells of wider levels, where the other side has rows of that level.
+
+    The widest level of the other side is a subquery: where it is the narrowest, there
+    are no guests and nothing is shuffled for them.
     """
-    own = _level(F.col(end) - F.col(start))
-    widths = F.array(*[F.lit(w) for w in WIDTHS])
-    rows = df.withColumn("_own", own).withColumn("level", F.explode(F.sequence(F.col("_own"), F.lit(len(WIDTHS) - 1))))
-    width = F.element_at(widths, F.col("level") + 1)
-    cells = F.sequence(F.floor(F.col(start) / width).cast("bigint"), F.floor(F.col(end) / width).cast("bigint"))
-    meets = F.when(F.col("level") == F.col("_own"), F.array(F.lit("both"), F.lit(own_meets))).otherwise(F.array(F.lit(guest_meets)))
-    return rows.withColumn("cell", F.explode(cells)).withColumn("meet", F.explode(meets)).drop("_own")
+    level = lambda pair: _level(F.col(pair[1]) - F.col(pair[0]))
+    widest = other.select(F.max(level(other_span)).alias("widest")).scalar()
+    rows = df.withColumn("_own", level(span)).withColumn("_widest", F.coalesce(widest, F.lit(0))).where(F.col("_own") < F.col("_widest"))
+    rows = rows.withColumn("level", F.explode(F.sequence(F.col("_own") + 1, F.col("_widest")))).drop("_own", "_widest")
+    places = _own(other.select(key, *other_span), *other_span).where("level > 0").select(key, "level", "cell").distinct()
+    return _celled(rows, *span).join(places, [key, "level", "cell"], "left_semi")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
     """All pairs of one key whose intervals share a point, each pair once.
 
     Columns of both sides must differ but for ``key``; spans must be sound. An equi-join:
-    the narrower interval visits the cells of the wider one's level (at most two each), so
-    a key with very many intervals is spread over its cells instead of meeting all with all.
-    A pair counts in the cell where the later of the two begins.
+    intervals of one level meet in the cells of that level, of different levels in those
+    of the wider one (at most two each), so a key with very many intervals is spread over
+    its cells instead of meeting all with all. ``meet`` keeps apart those who meet whom,
+    so no two guests ever meet. A pair counts in the cell where the later of the two begins.
     """
     (a0, a1), (b0, b1) = left_span, right_span
-    a, b = _dealt(left, a0, a1, "left", "right"), _dealt(right, b0, b1, "right", "left")
+    own_a, own_b = _own(left, a0, a1), _own(right, b0, b1)
+
+    def dealt(own: DataFrame, guests: DataFrame, own_meets: str, guest_meets: str) -> DataFrame:
+        # Only at wider levels are there guests of the other side to meet.
+        meets = F.when(F.col("level") > 0, F.array(F.lit("both"), F.lit(own_meets))).otherwise(F.array(F.lit("both")))
+        return own.withColumn("meet", F.explode(meets)).unionByName(guests.withColumn("meet", F.lit(guest_meets)))
+
+    a = dealt(own_a, _guests(left, right, key, left_span, right_span), "left", "right")
+    b = dealt(own_b, _guests(right, left, key, right_span, left_span), "right", "left")
     met = a.join(b, [key, "level", "cell", "meet"])
     width = F.element_at(F.array(*[F.lit(w) for w in WIDTHS]), F.col("level") + 1)
     once = F.col("cell") == F.floor(F.greatest(F.col(a0), F.col(b0)) / width).cast("bigint")
