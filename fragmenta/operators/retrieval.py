@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmenta.functions.text import words
-from fragmenta.operators.docs import union_all
+from fragmenta.operators import blocks
+from fragmenta.operators.blocks import DECIMALS
 from fragmenta.settings import SETTINGS
 
-#: Queries that are broadcast at once; a larger set is searched in several blocks.
-QUERY_BLOCK = 4_096
-#: Rows of a query side that are broadcast; a larger side is shuffled.
-BROADCAST_ROWS = 100_000
-#: Decimals to which scores are compared and given.
-DECIMALS = 6
-
 
 def top(df: DataFrame, query: str, score: str, tie: str, k: int, rank: str = "rank") -> DataFrame:
     """The ``k`` best rows of each query, ranked from 1; ties by ``tie``. Partial limits run before the shuffle."""
@@ -36,64 +26,12 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = SETTINGS.dense_to
     """``query_id, doc_id, score, rank``: exact search of every query over all vectors.
 
     ``corpus(doc_id, vec)``, ``queries(query_id, vec)``. Vectors of another length than
-    the queries', with NaN or infinite numbers or (with ``unit``, which makes the score
-    the cosine) all zero take no part. Queries are broadcast in blocks of ``QUERY_BLOCK``;
-    each task multiplies its rows with the block and hands on its own best, so the
-    shuffle holds k rows per query and task.
+    most queries', with NaN or infinite numbers or (with ``unit``, which makes the score
+    the cosine) all zero take no part. Each pair of blocks hands on its own best.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    keyed = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vec").where("query_id is not null and vec is not null")
-    parts = []
-    for block in range(blocks):
-        some = keyed if blocks == 1 else keyed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = [(r.query_id, list(r.vec)) for r in some.collect()]  # bounded by QUERY_BLOCK
-        lengths = [len(v) for _, v in rows]
-        dim = max(set(lengths), key=lengths.count) if lengths else 0
-        rows = [(i, v) for i, v in rows if len(v) == dim]
-        ids = np.array([i for i, _ in rows], np.int64)
-        matrix = np.array([v for _, v in rows], np.float64).reshape(len(rows), dim)
-        keep, matrix = _unit(matrix) if unit else (np.isfinite(matrix).all(axis=1), matrix)
-        if unit:
-            ids = ids[keep]
-        else:
-            ids, matrix = ids[keep], matrix[keep]
-        parts.append(_search_block(corpus, ids, matrix, dim, k, unit))
-    return top(union_all(parts), "query_id", "score", "doc_id", k)
-
-
-def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(all="ignore"):
-        norm = np.sqrt((m * m).sum(axis=1))
-    keep = np.isfinite(norm) & (norm > 0)
-    return keep, m[keep] / norm[keep][:, None]
-
-
-def _search_block(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, dim: int, k: int, unit: bool) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
-        for batch in batches:
-            column = batch.column("vec")
-            sizes = np.asarray(column.value_lengths().fill_null(-1))
-            at = np.flatnonzero((sizes == dim) & np.asarray(batch.column("doc_id").is_valid()))
-            if not len(at) or not len(qids):
-                continue
-            v = np.asarray(column.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(at), dim)
-            docs = np.asarray(batch.column("doc_id"))[at]
-            keep, v = _unit(v) if unit else (np.isfinite(v).all(axis=1), v[np.isfinite(v).all(axis=1)])
-            docs = docs[keep]
-            if not len(docs):
-                continue
-            score = np.round(q @ v.T, DECIMALS)
-            most = min(k, len(docs))
-            # All that tie with the k-th stay, so that ties are settled by id in the end.
-            least = np.partition(score, len(docs) - most, axis=1)[:, len(docs) - most]
-            rows, cols = np.nonzero(score >= least[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(qids[rows]), pa.array(docs[cols]), pa.array(score[rows, cols])], ["query_id", "doc_id", "score"])
-
-    return corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "vec").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    dim = queries.select(F.mode(F.size("vec"), True)).scalar()
+    asked, rows = (df.select(F.col(i).cast("bigint").alias("id"), "vec").where(F.col("id").isNotNull() & (F.size("vec") == dim)) for df, i in ((queries, "query_id"), (corpus, "doc_id")))
+    return top(blocks.dense(rows, asked, k, unit), "query_id", "score", "doc_id", k)
 
 
 def train_match(hits: DataFrame, low: float = SETTINGS.train_low, high: float = SETTINGS.train_high) -> DataFrame:
@@ -103,56 +41,57 @@ def train_match(hits: DataFrame, low: float = SETTINGS.train_low, high: float =
     return labelled.withColumn("list_rank", F.row_number().over(place))
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has no more than ``most`` rows; they are counted."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def postings(df: DataFrame, id_col: str, text_col: str, name: str = "doc_id") -> DataFrame:
-    """``(<name>, term, tf, length)``: counted words of each text."""
-    tokens = df.select(F.col(id_col).alias(name), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    return tokens.select(name, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(name, "length", "term").agg(F.count("*").alias("tf")).select(name, "term", "tf", "length")
+def counted_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, length, terms, counts)``: the counted words of each text that has any."""
+    tokens = df.select(F.col(id_col).cast("bigint").alias("id"), words(F.col(text_col)).alias("words")).where("id is not null and size(words) > 0")
+    return tokens.mapInArrow(blocks.counted, "id bigint, length int, terms array<string>, counts array<int>")
 
 
 def sparse_weights(docs: DataFrame) -> DataFrame:
-    """``doc_id, term, weight`` of ``docs(doc_id, text)``: the stand-in of a sparse encoder."""
-    return postings(docs, "doc_id", "text").select("doc_id", "term", (F.log1p("tf") / F.sqrt("length")).alias("weight"))
+    """``doc_id, terms, weights`` of ``docs(doc_id, text)``: the stand-in of a sparse encoder."""
+    weight = F.transform("counts", lambda n: F.log1p(n) / F.sqrt("length"))
+    return counted_words(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), "terms", weight.alias("weights"))
 
 
 def query_weights(queries: DataFrame) -> DataFrame:
-    """``query_id, term, weight`` of ``queries(query_id, text)``."""
-    return postings(queries, "query_id", "text", "query_id").select("query_id", "term", F.col("tf").cast("double").alias("weight"))
+    """``query_id, terms, weights`` of ``queries(query_id, text)``."""
+    return counted_words(queries, "query_id", "text").select(F.col("id").alias("query_id"), "terms", F.col("counts").cast("array<double>").alias("weights"))
+
+
+def sparse_vectors(df: DataFrame, id_col: str) -> DataFrame:
+    """``<id_col>, terms, weights`` of a table with one row for each term, as an encoder or an index gives it."""
+    listed = df.groupBy(id_col).agg(F.collect_list(F.struct("term", "weight")).alias("_w"))  # the terms of one text
+    return listed.select(id_col, F.col("_w.term").alias("terms"), F.col("_w.weight").alias("weights"))
 
 
 def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = SETTINGS.sparse_top_k) -> DataFrame:
     """``query_id, doc_id, score, rank``: product of sparse vectors over the terms in common.
 
-    ``docs(doc_id, term, weight)``, ``queries(query_id, term, weight)``; scores above 0 only,
-    ties in document order.
+    ``docs(doc_id, terms, weights)``, ``queries(query_id, terms, weights)``; scores above
+    0 only, ties in document order.
     """
-    met = docs.join(small(queries.withColumnRenamed("weight", "_q")), "term")
-    scored = met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("_q")), DECIMALS).alias("score"))
-    return top(scored.where("score > 0"), "query_id", "score", "doc_id", k)
+    rows, asked = (df.select(F.col(i).cast("bigint").alias("id"), "terms", "weights").where("id is not null") for df, i in ((docs, "doc_id"), (queries, "query_id")))
+    return top(blocks.sparse(rows, asked, k), "query_id", "score", "doc_id", k)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = SETTINGS.sparse_top_k, k1: float = SETTINGS.bm25_k1, b: float = SETTINGS.bm25_b) -> DataFrame:
     """``query_id, doc_id, score, rank`` by Okapi BM25 with the non-negative idf ln(1 + (N - df + 0.5) / (df + 0.5)).
 
     ``docs(doc_id, text)``, ``queries(query_id, text)``; a word repeated in a query counts
-    again. Words that no query has are dropped where they are read, if the queries' words
-    are few enough to be broadcast, and in a join otherwise.
+    again. How many documents have a word is counted in one pass, before the shuffle as
+    far as it goes; their number and mean length come with it, as the counts of no word.
     """
-    asked = postings(queries, "query_id", "text", "query_id").select("query_id", "term", F.col("tf").alias("qtf"))
-    split = docs.select("doc_id", words(F.col("text")).alias("w"))
-    n, mean = split.agg(F.count("*"), F.coalesce(F.avg(F.size("w")), F.lit(1.0))).first()  # two numbers
-    found = split.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
-    tf = found.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    met = tf.join(asked.join(df, "term"), "term")
-    idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (mean or 1.0)))
-    scored = met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
-    return top(scored.where("score > 0"), "query_id", "score", "doc_id", k)
+    split = docs.select(words(F.col("text")).alias("w"))
+    seen = split.select(F.size("w").alias("n"), F.explode(F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("w"), F.array().cast("array<string>")))).alias("term"))
+    counts = seen.groupBy("term").agg(F.count("*").alias("df"), F.avg(F.when(F.col("term") == "", F.col("n"))).alias("mean"))
+    total, mean = (counts.where("term = ''").select(c).scalar() for c in ("df", "mean"))
+    asked = counted_words(queries, "query_id", "text").select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("terms", "counts")).alias("_t")).select("query_id", F.col("_t.terms").alias("term"), F.col("_t.counts").alias("qtf"))
+    idf = F.log1p((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(counts, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
+    norm = k1 * (1 - b + b * F.col("length") / F.coalesce(F.nullif(mean, F.lit(0.0)), F.lit(1.0)))
+    held = counted_words(docs, "doc_id", "text").withColumn("norm", norm)
+    rows = held.select(F.col("id").alias("doc_id"), "terms", F.transform("counts", lambda tf: tf * (k1 + 1) / (tf + F.col("norm"))).alias("weights"))
+    return sparse_topk(rows, sparse_vectors(weighed, "query_id"), k)
 
 
 def maxsim(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
