@@ -6,10 +6,13 @@ made once per task by a factory, so weights are loaded once and not for each bat
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,19 +31,28 @@ def apply_model(df: DataFrame, make: Factory, schema: StructType | str) -> DataF
 
 
 def hashed_vector(text: Column, dim: int = 96) -> Column:
-    """Stand-in of a dense encoder: words hashed into ``dim`` signed places, unit length; null for a text without words."""
-    from fragmenta.functions.text import words
-
-    def once(value: Column, then) -> Column:
-        """``then`` of a value that is worked out once, also where it is used for every place."""
-        return F.element_at(F.transform(F.array(value), then), 1)
+    """Stand-in of a dense encoder: words hashed into ``dim`` signed places, unit length; null for a text without words.
 
-    def unit(raw: Column) -> Column:
-        return once(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.when(norm > 0, F.transform(raw, lambda x: (x / norm).cast("float"))))
+    A word's place is the number of the first eight hex digits of its MD5 modulo
+    ``dim``, its sign that of the ninth: plus if even.
+    """
+    from fragmenta.functions.text import words
 
-    places = F.transform(words(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")))
-    raw = once(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(p, lambda x: x.at == i), F.lit(0.0), lambda s, x: s + x.v)))
-    return once(raw, unit)
+    def encode(found: pa.Array) -> pa.Array:
+        coded = found.flatten().dictionary_encode()
+        digests = [hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+        place = np.array([int(d[:8], 16) % dim for d in digests], np.int64)[np.asarray(coded.indices)]
+        sign = np.array([1.0 - 2 * (int(d[8], 16) % 2) for d in digests])[np.asarray(coded.indices)]
+        row = np.repeat(np.arange(len(found)), np.asarray(found.value_lengths().fill_null(0)))
+        raw = np.bincount(row * dim + place, sign, len(found) * dim).reshape(len(found), dim)
+        norm = np.sqrt((raw * raw).sum(axis=1))
+        with np.errstate(all="ignore"):
+            flat = pa.array((raw / norm[:, None]).astype(np.float32).ravel())
+        offsets = pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, flat, mask=pa.array(norm == 0))
+
+    encode.__annotations__ = {"found": pa.Array, "return": pa.Array}
+    return F.arrow_udf(encode, "array<float>")(words(text))
 
 
 def fixed_shots(length: float = 10.0) -> Factory:

@@ -9,7 +9,7 @@ from fragmenta.functions import spell, text
 from fragmenta.operators import docs, fusion, intervals, mining, models, retrieval, submit, windows
 from fragmenta.operators.periods import file_stem
 from fragmenta.plans import pipeline
-from fragmenta.session import checkpoint_dir, cut, table
+from fragmenta.session import checkpoint_dir, table, written
 from fragmenta.streaming import ready
 
 QUERIES: dict = {}
@@ -391,26 +391,70 @@ def sparse_topk(spark: SparkSession, base: str) -> DataFrame:
     return retrieval.sparse_topk(retrieval.sparse_weights(scenes), retrieval.query_weights(asked))
 
 
-@query("""WITH e AS (SELECT vec_id // 8 AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT DISTINCT q.doc_id AS query_id, (q.doc_id + d.k) % (SELECT max(doc_id) + 1 FROM e) AS doc_id
-    FROM e q, (SELECT unnest([1, 7, 19]) AS k) d WHERE q.doc_id % 50 = 0)
+@query("""WITH e AS (SELECT vec_id // 8 AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  d AS (SELECT doc_id, list_transform(range(1, 65), lambda i: list_sum(list_transform(vs, lambda v: v[i])) / len(vs)) AS v FROM (SELECT doc_id, list(v) AS vs FROM e GROUP BY doc_id)),
+  p AS (SELECT query_id, doc_id FROM (SELECT q.doc_id AS query_id, d.doc_id, round(list_dot_product(q.v, d.v), 6) AS score FROM d q, d WHERE q.doc_id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50)
   SELECT query_id, doc_id, round(sum(best), 6) AS score FROM (
     SELECT p.query_id, p.doc_id, q.v, max(list_dot_product(q.v, d.v)) AS best FROM p JOIN e q ON q.doc_id = p.query_id JOIN e d ON d.doc_id = p.doc_id GROUP BY ALL) GROUP BY ALL""")
 def maxsim(spark: SparkSession, base: str) -> DataFrame:
-    """Late interaction of documents of eight vectors each."""
+    """Late interaction of each query with its dense hits, by documents of eight vectors each; dense is their mean."""
     rows = table(spark, base, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("bigint").alias("doc_id"), "embedding")
     packed = rows.groupBy("doc_id").agg(F.collect_list("embedding").alias("vecs"))  # eight each
-    last = rows.agg(F.max("doc_id") + 1).first()[0] or 1
-    pairs = packed.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array(*[F.lit(k) for k in (1, 7, 19)])).alias("k"))
-    pairs = pairs.select("query_id", ((F.col("query_id") + F.col("k")) % last).alias("doc_id")).distinct()
-    return retrieval.maxsim(pairs, packed.withColumnRenamed("doc_id", "query_id"), packed)
+    mean = lambda i: F.aggregate("vecs", F.lit(0.0), lambda total, v: total + v[i]) / F.size("vecs")
+    dense = packed.select("doc_id", F.transform(F.sequence(F.lit(0), F.size(F.col("vecs")[0]) - 1), mean).alias("vec"))
+    hits = retrieval.dense_topk(dense, dense.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), unit=False)
+    return retrieval.maxsim(hits.select("query_id", "doc_id"), packed.withColumnRenamed("doc_id", "query_id"), packed)
 
 
 # ---- fusion
 
 
-_CAND = f"""{_DENSE}, {_BM25}, cand AS (
-  SELECT query_id, 2 AS channel_ord, rank, 'dense_scenes' AS source, video_id, "start", "end", doc_id FROM dense JOIN m USING (doc_id)
-  UNION ALL SELECT query_id, 3, rank, 'bm25_scenes', video_id, "start", "end", doc_id FROM bm JOIN m USING (doc_id)
+def _hashed(name: str, source: str) -> str:
+    """Vectors ``(id, u)`` of the encoder's stand-in for texts ``(id, t)``."""
+    return f"""{name}_s AS (
+  SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 96 AS place, sum(1 - 2 * (CAST('0x' || substr(md5(w), 9, 1) AS BIGINT) % 2)) AS v FROM (SELECT id, unnest({_TOKENS.replace("{x}", "t")}) AS w FROM {source}) GROUP BY ALL
+), {name}_r AS (
+  SELECT id, list(CAST(CAST(coalesce(v, 0) / norm AS FLOAT) AS DOUBLE) ORDER BY place) AS r FROM (SELECT * FROM (SELECT id, sqrt(sum(v * v)) AS norm FROM {name}_s GROUP BY id HAVING sum(v * v) > 0), (SELECT unnest(range(96)) AS place)) LEFT JOIN {name}_s USING (id, place) GROUP BY id
+), {name} AS (SELECT id, list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS u FROM {name}_r)"""
+
+
+def _nearest(name: str, asked: str, rows: str, k: int, where: str = "true") -> str:
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+  FROM (SELECT q.id AS query_id, d.id AS doc_id, round(list_dot_product(q.u, d.u), 6) AS score FROM {asked} q, {rows} d WHERE {where}) QUALIFY rank <= {k})"""
+
+
+def _counted(name: str, source: str) -> str:
+    return f"{name} AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(w) AS length, unnest(w) AS term FROM (SELECT id, {_TOKENS.replace('{x}', 't')} AS w FROM {source})) GROUP BY ALL)"
+
+
+def _worded(name: str, asked: str, rows: str) -> str:
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT q.id AS query_id, d.id AS doc_id, round(sum(ln(1 + d.tf) / sqrt(d.length) * q.tf), 6) AS score FROM {rows} d JOIN {asked} q USING (term) GROUP BY ALL) WHERE score > 0 QUALIFY rank <= 50)"""
+
+
+_ENGLISH = f"""CASE WHEN lower(nullif({_strip("q.question_en")}, '')) <> lower({_strip("t.question")}) THEN nullif({_strip("q.question_en")}, '') END"""
+_CHANNELS = [(f"{way}_{kind}_{tag}", order) for tag, first in (("main", 2), ("en", 6)) for order, (way, kind) in enumerate((("dense", "scenes"), ("dense", "events"), ("sparse", "scenes"), ("sparse", "events")), first)]
+_TABLE_OF = {"scenes": "m", "events": "e"}
+_CAND = f"""{_S}, {_C}, m AS (
+  SELECT m0.*, s.asr_text, c.llm_caption_en, c.llm_caption_ru FROM (SELECT doc_id, video_id, scene_idx, "start", "end", summary FROM scenes_meta WHERE {_OK} AND video_id IS NOT NULL) m0
+  LEFT JOIN (SELECT video_id, scene_idx, asr_text FROM s) s USING (video_id, scene_idx) LEFT JOIN c USING (video_id, scene_idx)
+), e AS (
+  SELECT DISTINCT event_idx AS doc_id, video_id, "start", "end", coalesce(event_summary, '') AS event_summary FROM events_doc WHERE {_OK} AND video_id IS NOT NULL AND event_idx IS NOT NULL
+), t AS (
+  SELECT t.doc_id, t.video_id, t."start", t."end", t.question, coalesce(nullif(CASE WHEN nullif(q.question_en, '') IS NOT NULL AND lower(q.question_en) <> lower(coalesce(nullif(q.question_ru, ''), q.question_en)) THEN coalesce(nullif(q.question_ru, ''), q.question_en) || ' ' || q.question_en
+    ELSE coalesce(nullif(q.question_ru, ''), nullif(q.question_en, ''), nullif(q.question, ''), '') END, ''), t.question) AS t
+  FROM train_meta t LEFT JOIN train_qa q USING (qa_id) WHERE isfinite(t."start") AND isfinite(t."end") AND t."start" < t."end" AND t.video_id IS NOT NULL
+), asked AS (
+  SELECT t.doc_id AS query_id, t.question, {_ENGLISH} AS english FROM train_meta t LEFT JOIN train_qa q USING (qa_id) WHERE t.doc_id % 50 = 0
+), t_main AS (SELECT query_id AS id, question AS t FROM asked), t_en AS (SELECT query_id AS id, english AS t FROM asked WHERE english IS NOT NULL),
+t_scenes AS (SELECT doc_id AS id, summary AS t FROM m), t_events AS (SELECT doc_id AS id, event_summary AS t FROM e), t_train AS (SELECT doc_id AS id, t FROM t),
+{", ".join(_hashed(f"v_{x}", f"t_{x}") for x in ("main", "en", "scenes", "events", "train"))},
+{", ".join(_counted(f"w_{x}", f"t_{x}") for x in ("main", "en", "scenes", "events"))},
+{_nearest("past", "v_main", "v_train", 10, "q.id <> d.id")},
+{", ".join((_nearest(name, f"v_{tag}", f"v_{kind}", 50) if way == "dense" else _worded(name, f"w_{tag}", f"w_{kind}")) for name, _ in _CHANNELS for way, kind, tag in [name.split("_")])}, cand AS (
+  SELECT query_id, CASE WHEN score >= 0.88 THEN 0 ELSE 1 END AS channel_ord, row_number() OVER (PARTITION BY query_id, score >= 0.88 ORDER BY rank) AS rank,
+    CASE WHEN score >= 0.88 THEN 'train_high' ELSE 'train_low' END AS source, video_id, "start", "end", doc_id FROM past JOIN t USING (doc_id) WHERE score >= 0.80
+  {" ".join(f"""UNION ALL SELECT query_id, {order}, rank, '{name}', video_id, "start", "end", doc_id FROM {name} JOIN {_TABLE_OF[name.split("_")[1]]} USING (doc_id)""" for name, order in _CHANNELS)}
 )"""
 
 
@@ -427,8 +471,24 @@ _COLS = 'query_id, position, video_id, "start", "end", source, doc_id, rrf_score
 _COLS_LIST = ["query_id", "position", "video_id", "start", "end", "source", "doc_id", "rrf_score"]
 
 
+def _full(spark: SparkSession, base: str) -> tuple[DataFrame, pipeline.Corpus]:
+    """Queries and corpus of all channels. The tables have no vectors of events and translations, so every text gets one of the encoder's stand-in. A query's own row is left out of the past questions."""
+    vec = lambda name: models.hashed_vector(F.col(name))
+    placed = intervals.sound() & F.col("video_id").isNotNull()
+    scenes = _corpus(spark, base).scenes.drop("vec").join(_scenes(spark, base).select(*docs.KEY, "asr_text"), docs.KEY, "left")
+    scenes = scenes.join(_captions(spark, base).select(*docs.KEY, "llm_caption_en", "llm_caption_ru"), docs.KEY, "left").withColumn("vec", vec("summary"))
+    rows = table(spark, base, "train_qa")
+    indexed = rows.select("qa_id", docs.question_text(rows.columns, suffix_en=True).alias("_t"))
+    train = table(spark, base, "train_meta").where(placed).select("doc_id", "qa_id", "video_id", "start", "end", "question").join(indexed, "qa_id", "left")
+    train = train.withColumn("_t", F.coalesce(text.blank_to_null(F.col("_t")), "question")).withColumn("vec", vec("_t")).drop("_t", "qa_id")
+    events = docs.event_metadata(table(spark, base, "events_doc").where(placed & F.col("event_idx").isNotNull()))
+    events = events.select(F.col("event_idx").cast("bigint").alias("doc_id"), "video_id", "start", "end", "event_summary").distinct().withColumn("vec", vec("event_summary"))
+    asked = _asked(spark, base).withColumn("own", F.col("query_id")).withColumns({"vec": vec("question"), "vec_en": vec("english")})
+    return written(asked), pipeline.Corpus(written(scenes), written(train), written(events))
+
+
 def _found(spark: SparkSession, base: str) -> DataFrame:
-    return pipeline.scene_channels(_asked(spark, base), _corpus(spark, base))
+    return pipeline.candidates(*_full(spark, base))
 
 
 @query(f"""WITH {_CAND}, {_rrf("r", 'video_id, "start", "end", source')} SELECT {_COLS} FROM r""")
@@ -479,14 +539,13 @@ def _lexical(q: str, d: str) -> str:
     return f"round(ln(({share} + 0.05) / (1.05 - {share})), 6)"
 
 
-_SCORED = f"""first AS (SELECT * FROM sup QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) <= 32),
-asked AS (
-  SELECT t.doc_id AS query_id, t.question, CASE WHEN lower(nullif({_strip("q.question_en")}, '')) <> lower({_strip("t.question")}) THEN nullif({_strip("q.question_en")}, '') END AS english
-  FROM train_meta t LEFT JOIN train_qa q USING (qa_id) WHERE t.doc_id % 50 = 0
-), scored AS (
-  SELECT f.*, {_lexical("a.question", "coalesce(nullif(" + _strip("m.summary") + ", ''), '')")} AS score_main,
-    CASE WHEN a.english IS NOT NULL THEN {_lexical("a.english", "coalesce(nullif(" + _strip("m.summary") + ", ''), '')")} END AS score_en
-  FROM first f JOIN m USING (doc_id) JOIN asked a USING (query_id)
+_PASSAGE = f"""coalesce(nullif(e.event_summary, ''), nullif({_strip("""concat_ws(' ', CASE WHEN {l} THEN coalesce(nullif(m.llm_caption_ru, ''), nullif(m.llm_caption_en, ''), nullif(m.summary, ''))
+    ELSE coalesce(nullif(m.llm_caption_en, ''), nullif(m.llm_caption_ru, ''), nullif(m.summary, '')) END, nullif(m.asr_text, ''))""")}, ''), nullif(m.summary, ''), nullif(t.question, ''), '')"""
+_SCORED = f"""first AS (SELECT * FROM sup QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) <= 32), scored AS (
+  SELECT f.*, {_lexical("a.question", _PASSAGE.replace("{l}", "coalesce(regexp_matches(a.question, '[а-яА-ЯёЁ]'), false)"))} AS score_main,
+    CASE WHEN a.english IS NOT NULL THEN {_lexical("a.english", _PASSAGE.replace("{l}", "false"))} END AS score_en
+  FROM first f JOIN asked a USING (query_id) LEFT JOIN m ON f.source LIKE '%\\_scenes\\_%' ESCAPE '\\' AND m.doc_id = f.doc_id
+    LEFT JOIN e ON f.source LIKE '%\\_events\\_%' ESCAPE '\\' AND e.doc_id = f.doc_id LEFT JOIN t ON f.source LIKE 'train%' AND t.doc_id = f.doc_id
 ), ranked AS (
   SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, position) AS position)
   FROM (SELECT *, greatest(score_main, score_en) + CASE WHEN source = 'train_high' THEN 5.0 ELSE 0.0 END AS reranker_score FROM scored) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, position) <= 10
@@ -494,10 +553,8 @@ asked AS (
 
 
 def _scored(spark: SparkSession, base: str) -> DataFrame:
-    asked, corpus = _asked(spark, base), _corpus(spark, base)
-    kept = pipeline.fused(_found(spark, base))
-    first = retrieval.top(kept.withColumn("_p", -F.col("position")), "query_id", "_p", "position", 32, "_r").drop("_p", "_r")
-    return pipeline.scored(first, asked, corpus)
+    asked, corpus = _full(spark, base)
+    return pipeline.scored(pipeline.best(pipeline.fused(pipeline.candidates(asked, corpus))), asked, corpus)
 
 
 @query(f"WITH RECURSIVE {_FUSED}, {_SCORED} SELECT query_id, position, video_id, \"start\", \"end\", source, score_main, score_en, reranker_score FROM ranked")
@@ -528,7 +585,7 @@ def expand_timecodes(spark: SparkSession, base: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_FINAL} SELECT query_id, slot, video_id, "start", "end", reranker_score FROM final""")
 def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
     """The five best fragments of every query, all steps."""
-    return pipeline.search(_asked(spark, base), _corpus(spark, base), find=pipeline.scene_channels).select("query_id", "slot", "video_id", "start", "end", "reranker_score")
+    return pipeline.search(*_full(spark, base)).select("query_id", "slot", "video_id", "start", "end", "reranker_score")
 
 
 _SLOTS = ", ".join(f"""coalesce(r[least({i}, n)].v, {{v}}) AS video_file_{i}, round(coalesce(r[least({i}, n)].s, {{s}}), 3) AS start_{i}, round(coalesce(r[least({i}, n)].e, {{e}}), 3) AS end_{i}""" for i in range(1, 6))
@@ -542,15 +599,15 @@ _EMPTY = ", ".join(f"""CASE WHEN n >= {i} THEN r[{i}].v ELSE '' END AS video_fil
 @query(f"WITH RECURSIVE {_WIDE} SELECT query_id, {_PADDED} FROM wide")
 def submission_padded(spark: SparkSession, base: str) -> DataFrame:
     """One row per query, missing slots repeat the last."""
-    asked = _asked(spark, base)
-    return submit.padded(asked, pipeline.search(asked, _corpus(spark, base), find=pipeline.scene_channels))
+    asked, corpus = _full(spark, base)
+    return submit.padded(asked, pipeline.search(asked, corpus))
 
 
 @query(f"WITH RECURSIVE {_WIDE} SELECT query_id, {_EMPTY} FROM wide")
 def submission_empty(spark: SparkSession, base: str) -> DataFrame:
     """One row per query, missing slots empty."""
-    asked = _asked(spark, base)
-    return submit.empty_padded(asked, pipeline.search(asked, _corpus(spark, base), find=pipeline.scene_channels))
+    asked, corpus = _full(spark, base)
+    return submit.empty_padded(asked, pipeline.search(asked, corpus))
 
 
 @query(f"WITH RECURSIVE {_WIDE} SELECT count(*) AS n_rows, round(avg(CASE WHEN regexp_matches(coalesce(r[1].v, 'video_00000000'), '^video_[a-f0-9]+$') THEN 1.0 ELSE 0.0 END), 6) AS fill, 16 AS n_columns FROM wide")
@@ -569,38 +626,9 @@ def submission_check(spark: SparkSession, base: str) -> DataFrame:
 ) SELECT *, round((avg(success_rate) OVER () + avg(video_recall) OVER ()) / 2, 6) AS composite FROM rates""")
 def composite_recall(spark: SparkSession, base: str) -> DataFrame:
     """Quality of the search on past questions, whose fragments are known."""
-    asked = _asked(spark, base)
-    truth = asked.where(intervals.sound() & F.col("video_id").isNotNull()).select("query_id", F.col("video_id").alias("true_video"), F.col("start").alias("true_start"), F.col("end").alias("true_end"))
-    return submit.composite_recall(pipeline.search(asked, _corpus(spark, base), find=pipeline.scene_channels), truth)
-
-
-def _full(spark: SparkSession, base: str) -> tuple[DataFrame, pipeline.Corpus]:
-    """Queries and corpus of all channels; the tables have no vectors of events and translations, so every text gets one of the encoder's stand-in."""
-    vec = lambda name: models.hashed_vector(F.col(name))
-    placed = intervals.sound() & F.col("video_id").isNotNull()
-    scenes = _corpus(spark, base).scenes.withColumn("vec", vec("summary"))
-    rows = table(spark, base, "train_qa")
-    indexed = rows.select("qa_id", docs.question_text(rows.columns, suffix_en=True).alias("_t"))
-    train = table(spark, base, "train_meta").where(placed).select("doc_id", "qa_id", "video_id", "start", "end", "question").join(indexed, "qa_id", "left")
-    train = train.withColumn("_t", F.coalesce("_t", "question")).withColumn("vec", vec("_t")).drop("_t", "qa_id")
-    events = docs.event_metadata(table(spark, base, "events_doc").where(placed)).distinct()
-    key = F.xxhash64("video_id", "event_idx", "start", "end", "event_summary")
-    events = events.select(key.alias("doc_id"), "video_id", "start", "end", "event_summary", vec("event_summary").alias("vec")).dropDuplicates(["doc_id"])
-    asked = _asked(spark, base).withColumn("own", F.col("query_id")).withColumns({"vec": vec("question"), "vec_en": vec("english")})
-    return cut(asked), pipeline.Corpus(cut(scenes), cut(train), cut(events))
-
-
-@query()
-def hybrid_search_full(spark: SparkSession, base: str) -> DataFrame:
-    """The five best fragments of every query, over past questions, scenes and events by both wordings."""
-    return pipeline.search(*_full(spark, base)).select("query_id", "slot", "video_id", "start", "end", "source", "reranker_score")
-
-
-@query()
-def submission_full(spark: SparkSession, base: str) -> DataFrame:
-    """One row per query of the search over all channels, missing slots repeat the last."""
     asked, corpus = _full(spark, base)
-    return submit.padded(asked, pipeline.search(asked, corpus))
+    truth = asked.where(intervals.sound() & F.col("video_id").isNotNull()).select("query_id", F.col("video_id").alias("true_video"), F.col("start").alias("true_start"), F.col("end").alias("true_end"))
+    return submit.composite_recall(pipeline.search(asked, corpus), truth)
 
 
 @query(f"""WITH {_S}, {_OKS}, q AS (SELECT qa_id, {_STEM.replace("{x}", "video_file")} AS video_id, "start" AS b0, "end" AS b1 FROM train_qa WHERE {_OK})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -69,14 +68,6 @@ def candidates(queries: DataFrame, corpus: Corpus, settings: Settings = SETTINGS
     return docs.union_all([p.select(*_PAYLOAD) for p in parts])
 
 
-def scene_channels(queries: DataFrame, corpus: Corpus, settings: Settings = SETTINGS) -> DataFrame:
-    """Dense and BM25 search of the scenes by the main wording: what the SQL of the searches covers."""
-    dense = retrieval.dense_topk(corpus.scenes, queries.select("query_id", "vec"), settings.dense_top_k)
-    texts = queries.select("query_id", F.col("question").alias("text"))
-    words = retrieval.bm25_topk(corpus.scenes.select("doc_id", F.col("summary").alias("text")), texts, settings.sparse_top_k, settings.bm25_k1, settings.bm25_b)
-    return docs.union_all([channel(dense, corpus.scenes, "dense_scenes", 2), channel(words, corpus.scenes, "bm25_scenes", 3)])
-
-
 def fused(found: DataFrame, settings: Settings = SETTINGS, by_source: bool = True) -> DataFrame:
     """Fusion, suppression and the cut to what is reranked."""
     identity = ["video_id", "start", "end", *(["source"] if by_source else [])]
@@ -84,20 +75,24 @@ def fused(found: DataFrame, settings: Settings = SETTINGS, by_source: bool = Tru
     return suppress(merged, ["query_id"], "video_id", "position", settings.suppress_iou).where(F.col("position").isNotNull())
 
 
-def search(queries: DataFrame, corpus: Corpus, settings: Settings = SETTINGS, find: Callable[[DataFrame, Corpus, Settings], DataFrame] = candidates) -> DataFrame:
+def search(queries: DataFrame, corpus: Corpus, settings: Settings = SETTINGS) -> DataFrame:
     """The ranked fragments of each query: ``query_id, slot, video_id, start, end, ...``.
 
-    ``queries`` are those of ``find``; passages are compared by the lexical stand-in of a
-    cross-encoder.
+    ``queries`` are those of ``candidates``; passages are compared by the lexical
+    stand-in of a cross-encoder.
     """
-    kept = fused(find(queries, corpus, settings), settings)
-    first = retrieval.top(kept.withColumn("_p", -F.col("position")), "query_id", "_p", "position", settings.rerank_candidates, "_r").drop("_p", "_r")
+    first = best(fused(candidates(queries, corpus, settings), settings), settings)
     return fusion.finish(scored(first, queries, corpus), settings.rerank_keep, settings.final_top_n, settings.suppress_iou)
 
 
+def best(kept: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """The candidates that are reranked."""
+    return retrieval.top(kept.withColumn("_p", -F.col("position")), "query_id", "_p", "position", settings.rerank_candidates, "_r").drop("_p", "_r")
+
+
 def scored(found: DataFrame, queries: DataFrame, corpus: Corpus) -> DataFrame:
     """Candidates with the scores of both wordings of their query."""
-    fields = ("summary", "asr_text", "question", "event_summary")
+    fields = ("summary", "llm_caption_ru", "llm_caption_en", "asr_text", "question", "event_summary")
     parts = [p for p in (("scenes", corpus.scenes), ("train", corpus.train), ("events", corpus.events)) if p[1] is not None]
     # Ids are those of one table, so a text belongs to (kind, id).
     texts = docs.union_all([rows.select(F.lit(kind).alias("_kind"), "doc_id", *[F.col(c) if c in rows.columns else F.lit("").alias(c) for c in fields]) for kind, rows in parts])
