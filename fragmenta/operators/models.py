@@ -13,23 +13,36 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fragmenta.settings import SETTINGS
+
 Factory = Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
 
 
-def apply_model(df: DataFrame, make: Factory, schema: StructType | str) -> DataFrame:
-    """``df`` through a model, batch by batch; the model may give more or fewer rows (shots, speech segments)."""
+def apply_model(df: DataFrame, make: Factory, schema: StructType | str, batch_rows: int = SETTINGS.model_batch_rows) -> DataFrame:
+    """``df`` through a model, at most ``batch_rows`` rows at once; the model may give more or fewer rows (shots, speech segments)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for batch in batches:
-            yield model(batch)
+            for at in range(0, len(batch), batch_rows):
+                yield model(batch.iloc[at : at + batch_rows].reset_index(drop=True))
 
     return df.mapInPandas(run, schema)
 
 
+def first_there(spark: SparkSession, choices: list[tuple[str | None, Factory]]) -> Factory:
+    """The model of the first choice whose files exist; a choice without a path is always there."""
+    from fragmenta.sources.readers import exists
+
+    for path, make in choices:
+        if path is None or exists(spark, path):
+            return make
+    raise FileNotFoundError(f"none of {[p for p, _ in choices]}")
+
+
 def hashed_vector(text: Column, dim: int = 96) -> Column:
     """Stand-in of a dense encoder: words hashed into ``dim`` signed places, unit length; null for a text without words.
 

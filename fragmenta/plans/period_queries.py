@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmenta.operators.periods import file_stem, interval_rows, periods_and_gaps
-from fragmenta.session import table
+from fragmenta.session import checkpoint_dir, table
+from fragmenta.streaming import periods, ready
 
 
-def p3_found(spark: SparkSession, base: str) -> DataFrame:
-    """Periods and gaps of every video, each table by itself."""
+def _rows(read) -> DataFrame:
+    """The intervals of the three tables, each by ``read(name)``."""
     parts = [
-        interval_rows(table(spark, base, "scenes"), "scenes", F.col("video_id")),
-        interval_rows(table(spark, base, "events_doc"), "events_doc", F.col("video_id")),
-        interval_rows(table(spark, base, "train_qa"), "train_qa", file_stem(F.col("video_file"))),
+        interval_rows(read("scenes"), "scenes", F.col("video_id")),
+        interval_rows(read("events_doc"), "events_doc", F.col("video_id")),
+        interval_rows(read("train_qa"), "train_qa", file_stem(F.col("video_file"))),
     ]
-    return periods_and_gaps(reduce(DataFrame.unionByName, parts))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Periods and gaps of every video, each table by itself."""
+    return periods_and_gaps(_rows(lambda name: table(spark, base, name)))
+
+
+def stream_periods(spark: SparkSession, base: str) -> DataFrame:
+    """The same from streams of the tables: changes in keyed state, then what stands."""
+    place = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    stream = _rows(lambda name: ready.arrivals(spark, base, name, table(spark, base, name).schema))
+    writer = ready.start(periods.running_cells(stream), f"{place}/out", f"{place}/checkpoint", mode="update")
+    writer.awaitTermination()
+    changes = spark.read.schema("src_table string, video_id string, cell bigint, s bigint, e bigint, change int").parquet(f"{place}/out/batch=*")
+    return periods_and_gaps(periods.standing(changes))
 
 
 def p3_summary(spark: SparkSession, base: str) -> DataFrame:
@@ -53,9 +70,10 @@ WITH raw AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_summary": p3_summary}
+QUERIES = {"p3_found": p3_found, "p3_summary": p3_summary, "stream_periods": stream_periods}
 
 ORACLE = {
     "p3_found": _FOUND + "SELECT * FROM found",
+    "stream_periods": _FOUND + "SELECT * FROM found",
     "p3_summary": _FOUND + "SELECT src_table, kind, count(*) AS n, count(DISTINCT video_id) AS videos, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms FROM found GROUP BY ALL",
 }

@@ -124,7 +124,7 @@ class Pipeline:
         a = ready.arrivals(self.spark, self.root, "keyframes", self.read("keyframes").schema)
         b = ready.arrivals(self.spark, self.root, "speech", self.read("speech").schema)
         place = f"{self.root}/caption_stream"
-        ready.start(ready.ready(a, b).drop("a_time"), f"{place}/out", f"{place}/checkpoint", self._told).awaitTermination()
+        ready.start(ready.ready(a, b), f"{place}/out", f"{place}/checkpoint", self._told).awaitTermination()
         out = self.spark.read.schema("video_id string, scene_idx int, vlm_caption string").parquet(f"{place}/out/batch=*")
         self.write(out.select(*docs.KEY, "vlm_caption").dropDuplicates(docs.KEY), "captions")
 

@@ -37,6 +37,7 @@ class Settings:
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     stream_batch_sec: int = 2
+    model_batch_rows: int = 128
     pad_video: str = "video_00000000"
     pad_start: float = 0.0
     pad_end: float = 30.0

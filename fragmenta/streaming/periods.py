@@ -6,30 +6,41 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fragmenta.operators.interval_map import IntervalMap
+from fragmenta.operators.periods import CELL_MS
 
-_OUT = "src_table string, video_id string, kind string, start_ms bigint, end_ms bigint, version bigint"
-_STATE = "starts array<bigint>, ends array<bigint>, version bigint"
+_KEYS = ["src_table", "video_id", "cell"]
+_OUT = "src_table string, video_id string, cell bigint, s bigint, e bigint, change int"
 
 
-def running_periods(rows: DataFrame, gap_limit_ms: int = 21_600_000) -> DataFrame:
-    """The periods and gaps of each (source, video) as they stand after every micro-batch.
+def running_cells(rows: DataFrame) -> DataFrame:
+    """How each micro-batch changes the disjoint intervals of each (source, video, cell).
 
     ``rows(src_table, video_id, s, e)`` as ``interval_rows`` gives them, streaming. The
-    state of a key is its ordered map of disjoint intervals; new ones are inserted by
-    binary search. A key that a batch changed is given whole, with a growing ``version``:
-    the rows of the highest version are the present ones.
+    state of a key is its ordered map of disjoint intervals, at most ``CELL_MS / 2`` of
+    them; new ones are inserted by binary search. Out come only the intervals that a
+    batch made (``change`` 1) and those they took the place of (-1).
     """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        starts, ends, version = state.get if state.exists else ([], [], 0)
+        starts, ends = state.get if state.exists else ([], [])
         known = IntervalMap(starts, ends)
         for batch in batches:
             for s, e in zip(batch.s.tolist(), batch.e.tolist()):
                 known.add(s, e)
-        state.update((known.starts, known.ends, version + 1))
-        found = [("period", s, e) for s, e in zip(known.starts, known.ends)] + [("gap", s, e) for s, e in known.gaps() if e - s < gap_limit_ms]
-        yield pd.DataFrame({"src_table": key[0], "video_id": key[1], "kind": [f[0] for f in found], "start_ms": [f[1] for f in found], "end_ms": [f[2] for f in found], "version": version + 1})
+        state.update((known.starts, known.ends))
+        before, after = set(zip(starts, ends)), set(zip(known.starts, known.ends))
+        changes = [(s, e, 1) for s, e in sorted(after - before)] + [(s, e, -1) for s, e in sorted(before - after)]
+        if changes:
+            yield pd.DataFrame([(*key, *c) for c in changes], columns=[*_KEYS, "s", "e", "change"])
 
-    return rows.groupBy("src_table", "video_id").applyInPandasWithState(update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    keyed = rows.select("src_table", "video_id", F.floor(F.col("s") / CELL_MS).cast("bigint").alias("cell"), "s", "e")
+    return keyed.groupBy(*_KEYS).applyInPandasWithState(update, _OUT, "starts array<bigint>, ends array<bigint>", "update", GroupStateTimeout.NoTimeout)
+
+
+def standing(changes: DataFrame) -> DataFrame:
+    """``interval_rows`` that stand after all the changes so far, for ``periods_and_gaps``."""
+    left = changes.groupBy(*_KEYS, "s", "e").agg(F.sum("change").alias("n"))
+    return left.where("n > 0").select("src_table", "video_id", "s", "e")

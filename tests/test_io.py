@@ -54,7 +54,7 @@ def test_ready_join_and_resume(spark, tmp_path):
 
     def run():
         kf, asr = ready.arrivals(spark, base, "kf", a, 1), ready.arrivals(spark, base, "asr", b, 1)
-        ready.start(ready.ready(kf, asr, done).drop("a_time"), f"{base}/out", f"{base}/cp").awaitTermination()
+        ready.start(ready.ready(kf, asr, done), f"{base}/out", f"{base}/cp").awaitTermination()
         return sorted(tuple(r) for r in spark.read.schema(f"{a}, asr_text string").parquet(f"{base}/out/batch=*").collect())
 
     assert run() == [("v", 1, "k1", "s1")]
@@ -68,11 +68,34 @@ def test_streamed_periods_equal_batch(spark, tmp_path):
     for n, rows in enumerate(parts):
         _part(spark, rows, schema, f"{base}/in", n)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    found = periods.running_periods(interval_rows(stream, "t", F.col("v")))
+    found = periods.running_cells(interval_rows(stream, "t", F.col("v")))
     query = found.writeStream.outputMode("update").format("memory").queryName("running").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = [tuple(r) for r in spark.sql("select * from running").collect()]
-    last = {k: max(r[5] for r in rows if r[1] == k) for k in {r[1] for r in rows}}
+    changes = spark.table("running")
+    assert sorted((r.video_id, r.s, r.e, r.change) for r in changes.collect() if r.video_id == "b") == [("b", 1000, 2000, 1), ("b", 3000, 4000, 1)]
     batch = spark.createDataFrame([r for p in parts for r in p], schema)
     want = {tuple(r) for r in periods_and_gaps(interval_rows(batch, "t", F.col("v"))).collect()}
-    assert {r[:5] for r in rows if r[5] == last[r[1]]} == want
+    assert {tuple(r) for r in periods_and_gaps(periods.standing(changes)).collect()} == want
+
+
+def test_what_waited_too_long_comes_out_alone(spark, tmp_path):
+    base = str(tmp_path)
+    a, b = "video_id string, scene_idx int, keyframe_path string, arrived timestamp", "video_id string, scene_idx int, asr_text string, arrived timestamp"
+    hour = lambda h: f"2024-01-0{1 + h // 24} {h % 24:02d}:00:00"
+    for n, (key, at) in enumerate([(1, 0), (2, 0), (9, 30), (10, 40)]):
+        _part(spark, [("v", key, f"k{key}", hour(at))], a.replace("timestamp", "string"), f"{base}/kf", n)
+        _part(spark, [("v", 2 if key == 1 else key + 50, f"s{key}", hour(at))], b.replace("timestamp", "string"), f"{base}/asr", n)
+    read = lambda name, schema: spark.readStream.schema(schema.replace("timestamp", "string")).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/{name}").withColumn("arrived", F.col("arrived").cast("timestamp"))
+    met = ready.ready_all(read("kf", a), read("asr", b), "6 hours")
+    ready.start(met, f"{base}/out", f"{base}/cp").awaitTermination()
+    out = spark.read.schema("video_id string, scene_idx int, keyframe_path string, asr_text string, a_time timestamp, complete boolean").parquet(f"{base}/out/batch=*").collect()
+    assert {(r.scene_idx, r.keyframe_path, r.asr_text, r.complete) for r in out} >= {(1, "k1", None, False), (2, "k2", "s1", True), (52, None, "s2", False)}
+
+
+def test_model_batches_are_bounded(spark):
+    from fragmenta.operators import models
+
+    make = lambda: lambda batch: batch.assign(n=len(batch))
+    sizes = [r.n for r in models.apply_model(spark.range(0, 300, 1, 1), make, "id bigint, n bigint").collect()]
+    assert sorted(set(sizes)) == [44, 128] and len(sizes) == 300
+    assert models.first_there(spark, [("/none/there", None), (None, make)]) is make
