@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragmenta.functions.text import blank_to_null, squeeze, strip
+from fragmenta.functions.text import blank_to_null, squeeze, strip, without_prefix
 from fragmenta.operators.intervals import covered, overlap_join, sound
 from fragmenta.operators.periods import file_stem
 from fragmenta.settings import SETTINGS
@@ -79,7 +79,7 @@ def resolve_audio(videos: DataFrame, files: DataFrame) -> DataFrame:
     """
     listed = files.select("path", F.regexp_extract(file_stem(F.col("path")), "^audio_(.+)$", 1).alias("hash")).where("hash <> ''")
     first = listed.groupBy("hash").agg(F.min("path").alias("audio"))
-    keyed = videos.withColumn("hash", F.regexp_replace("audio_key", "^video_", ""))
+    keyed = videos.withColumn("hash", without_prefix(F.col("audio_key"), "video_"))
     return keyed.join(first, "hash", "left").select("video_id", F.coalesce("audio", "video_path").alias("audio_path"))
 
 

@@ -68,6 +68,22 @@ def hashed_vector(text: Column, dim: int = 96) -> Column:
     return F.arrow_udf(encode, "array<float>")(words(text))
 
 
+def word_vectors(text: Column, dim: int = 96) -> Column:
+    """Stand-in of a multi-vector encoder: the vector of each distinct word; null for a text without words."""
+    from fragmenta.functions.text import words
+
+    found = F.array_distinct(words(text))
+    return F.when(F.size(found) > 0, F.transform(found, lambda w: _place_vector(w, dim)))
+
+
+def _place_vector(word: Column, dim: int) -> Column:
+    digest = F.md5(word)
+    place = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    sign = F.lit(1.0) - F.lit(2.0) * F.pmod(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int"), F.lit(2))
+    zero = F.lit(0.0).cast("float")
+    return F.concat(F.array_repeat(zero, place), F.array(sign.cast("float")), F.array_repeat(zero, dim - 1 - place))
+
+
 def fixed_shots(length: float = 10.0) -> Factory:
     """Stand-in of shot detection: ``video_id, duration`` to scenes of equal length."""
     def make():

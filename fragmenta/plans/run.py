@@ -72,7 +72,7 @@ class Pipeline:
     dim: int = 96
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.spark.read.parquet(writers.restored(self.spark, f"{self.root}/{name}.parquet"))
 
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.inputs}/{name}.parquet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmenta.operators.docs import latest
@@ -32,17 +32,13 @@ def media_files(spark: SparkSession, folder: str, types: tuple[str, ...] = VIDEO
     return files.select("path", file_stem(F.col("path")).alias("video_id"), "length", F.col("modificationTime").alias("modified"))
 
 
-def frame_rate(fps: Column, default: float = 25.0) -> Column:
-    """The frame rate; the default if missing or 0."""
-    return F.coalesce(F.nullif(fps, F.lit(0.0)), F.lit(default))
-
-
 def json_documents(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
     """A JSON file (an object or a list); no rows if it doesn't exist. Of entries with one ``key`` the last stays."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.schema(schema).json(path, multiLine=True)
-    return df if key is None else latest(df.withColumn("_at", F.monotonically_increasing_id()), [key], ["_at"]).drop("_at")
+    # A file is read by one task from its beginning; of several files the last by path counts.
+    return df if key is None else latest(df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at")), [key], ["_file", "_at"]).drop("_file", "_at")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -57,7 +53,7 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, required: tup
 
     Columns of ``schema`` that the file lacks are null; those in ``required`` must be there.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="\0")  # so that a quoted empty text isn't null
     missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"columns missing: {missing}")
@@ -67,11 +63,6 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, required: tup
     return raw.select(*[(F.col(n) if n in raw.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds])
 
 
-def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """A vector table: each vector is a column of its metadata's row."""
-    return spark.read.parquet(path)
-
-
 def first_existing(spark: SparkSession, paths: list[str]) -> str:
     """The first of several places that exists."""
     for path in paths:

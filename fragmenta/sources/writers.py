@@ -14,12 +14,31 @@ def _paths(spark: SparkSession, *paths: str):
 
 
 def atomic(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
-    """Written beside ``path``, then moved there; readers never see a part of it."""
-    fs, final, staged = _paths(df.sparkSession, path, f"{path}.part")
+    """Written beside ``path``, then moved there; readers never see a part of it.
+
+    What was there before is moved aside first and deleted last. A run that stops in
+    between leaves it as ``path.old``, from where the next call (or ``restored``) takes
+    it back.
+    """
+    fs, final, staged, aside = _paths(df.sparkSession, path, f"{path}.part", f"{path}.old")
+    restored(df.sparkSession, path)
     df.write.mode("overwrite").format(kind).options(**options).save(f"{path}.part")
-    fs.delete(final, True)
+    if fs.exists(final) and not fs.rename(final, aside):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(staged, final):
         raise OSError(f"{path}.part could not be moved")
+    fs.delete(aside, True)
+
+
+def restored(spark: SparkSession, path: str) -> str:
+    """``path``, with what a stopped ``atomic`` moved aside back in place."""
+    fs, final, aside = _paths(spark, path, f"{path}.old")
+    if fs.exists(aside):
+        if fs.exists(final):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, final)
+    return path
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -34,7 +53,7 @@ def append(df: DataFrame, path: str) -> None:
 
 def csv_file(df: DataFrame, path: str) -> None:
     """One CSV file with a header, in the order of the columns: a table of one row per query."""
-    atomic(df.coalesce(1), path, "csv", header="true")
+    atomic(df.coalesce(1), path, "csv", header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
 
 
 def cached(spark: SparkSession, folder: str, inputs: list[DataFrame], settings: object, make) -> DataFrame:

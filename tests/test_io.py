@@ -13,6 +13,11 @@ def test_files_round_trip(spark, tmp_path):
     writers.atomic(df, f"{base}/t")
     writers.atomic(df.limit(1), f"{base}/t")
     assert spark.read.parquet(f"{base}/t").count() == 1
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as a run leaves it that stops between the two moves
+    assert spark.read.parquet(writers.restored(spark, f"{base}/t")).count() == 1
+    odd = spark.createDataFrame([(1, ' "a", b\n\\c '), (2, ""), (3, None)], "query_id int, question string")
+    writers.csv_file(odd, f"{base}/odd.csv")
+    assert sorted(map(tuple, readers.csv(spark, f"{base}/odd.csv", readers.QUERIES).collect())) == sorted(map(tuple, odd.collect()))
     writers.json_lines(df, f"{base}/j")
     assert sorted(r.t for r in readers.json_lines(spark, f"{base}/j", "video_id string, n int, t string").collect()) == ["a\nb \"c\"", "д"]
     assert readers.json_lines(spark, f"{base}/none", "a int").count() == 0

@@ -7,11 +7,11 @@ from pathlib import Path
 
 import pytest
 
-from fragmenta.plans import core_queries, period_queries
+from fragmenta.plans import core_queries, io_queries, period_queries
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES = core_queries.QUERIES | period_queries.QUERIES
-ORACLE = core_queries.ORACLE | period_queries.ORACLE
+QUERIES = core_queries.QUERIES | period_queries.QUERIES | io_queries.QUERIES
+ORACLE = core_queries.ORACLE | period_queries.ORACLE | io_queries.ORACLE
 
 
 def plain(v):
