@@ -61,7 +61,9 @@ LABELS = {
 # Letters that only one of the Cyrillic languages has.
 _ONLY_UK, _ONLY_RU = frozenset("іїєґ"), frozenset("ыэъё")
 
-_SOUND = re.compile(r"\[[^\[\]\n]{0,60}\]|\([^()\n]{0,60}\)|<[^<>\n]{0,60}>|[♪♫♬♩]+|\*[^*\n]{0,40}\*")
+# A sound tag: at most four words in brackets or asterisks, or notes. More words are speech like any other.
+_TAGGED = r"{0}[^{0}{1}\s]{{0,60}}(?:[ \t]+[^{0}{1}\s]{{1,60}}){{0,3}}[ \t]*{1}"
+_SOUND = re.compile("|".join(_TAGGED.format(*x) for x in ((r"\[", r"\]"), (r"\(", r"\)"), ("<", ">"), (r"\*", r"\*"))) + "|[♪♫♬♩]+")
 _TOKEN = re.compile(r"([^\w]*)([^\W\d_]+(?:['’ʼ][^\W\d_]+)*)")
 _RUN = re.compile(r"[^\w]{9,}")
 _MIX = {"̀": None, "́": None}
@@ -330,6 +332,19 @@ def _stretches(path: np.ndarray, score: np.ndarray, label: int) -> list[tuple[in
     return out
 
 
+def _main(runs: list[tuple[int, int, float]]) -> tuple[str | None, float]:
+    """The language of most words of a text (the first in case of a tie), and its confidence."""
+    if not runs:
+        return None, 0.0
+    share: dict[int, list[float]] = {}
+    for language, n, confidence in runs:
+        own = share.setdefault(language, [0.0, 0.0])
+        own[0] += n
+        own[1] += n * confidence
+    best = max(share, key=lambda x: share[x][0])
+    return LANGUAGES[best], round(share[best][1] / sum(n for _, n, _ in runs), 6)
+
+
 def label_code(label: Column) -> Column:
     """The language of a label: codes of two or three letters, with a region, or English names.
 
@@ -343,19 +358,22 @@ def label_code(label: Column) -> Column:
     return code.otherwise(F.lit("other"))
 
 
-def segments(fields: DataFrame) -> DataFrame:
-    """``(field, rec_id, label, seg_no, lang, n_words, confidence, n_segments)``.
+def segments(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``(field, rec_id, label, seg_no, lang, n_words, confidence, n_segments, text_lang, text_confidence)``.
 
-    ``fields`` holds ``field, rec_id, text, label`` (label as ``label_code`` gives it).
-    One row for each stretch, in reading order; texts that are null or have no word
-    besides sound tags give none. Repeated rows give their rows again. The model is
-    fitted on about ``SAMPLE`` labelled texts of each field.
+    ``fields`` holds ``field, rec_id, text, label`` (label as ``label_code`` gives it), and
+    ``names`` the fields (found out if not given). One row for each stretch, in reading
+    order; the language of a text is that of most of its words, with the mean confidence of
+    its words in it and none in the others. Texts that are null or have no word besides
+    sound tags give none. Repeated rows give their rows again. The model is fitted on the
+    ``SAMPLE`` labelled texts of each field with the least hashes, which don't depend on
+    the order of rows.
     """
     spark = fields.sparkSession
-    labelled = fields.where("text is not null and label is not null").select("field", "text", "label")
-    sizes = {r.field: r["count"] for r in labelled.groupBy("field").count().collect()}  # the fields are parameters
-    some = labelled.sampleBy("field", {name: min(1.0, SAMPLE / n) for name, n in sizes.items()}, seed=5)
-    rows = [(r.text, r.label) for r in some.limit(2 * SAMPLE * max(1, len(sizes))).collect()]
+    names = names if names is not None else [r.field for r in fields.select("field").where("field is not null").distinct().collect()]  # the fields are parameters
+    mark = F.xxhash64("rec_id", "text", "label")
+    some = [fields.where((F.col("field") == n) & F.col("text").isNotNull() & F.col("label").isNotNull()).orderBy(mark, "text").limit(SAMPLE).select("text", "label") for n in sorted(names)]
+    rows = [(r.text, r.label) for df in some for r in df.collect()]
     shared = spark.sparkContext.broadcast(_plain(fit(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,9 +383,12 @@ def segments(fields: DataFrame) -> DataFrame:
         for batch in batches:
             labels = batch.column("label").to_pylist()
             found = labeller(batch.column("text").to_pylist(), [code.get(x, -1) for x in labels])
-            at, number, lang, words, sure, of = [], [], [], [], [], []
+            at, number, lang, words, sure, of, most, mean = [], [], [], [], [], [], [], []
             for i, runs in enumerate(found):
+                main, its = _main(runs)
                 for j, (language, n, confidence) in enumerate(runs):
+                    most.append(main)
+                    mean.append(its)
                     at.append(i)
                     number.append(j)
                     lang.append(LANGUAGES[language])
@@ -377,14 +398,19 @@ def segments(fields: DataFrame) -> DataFrame:
             at = pa.array(at, pa.int64())
             kept = [batch.column(c).take(at) for c in ("field", "rec_id", "label")]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(number, pa.int32()), pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(sure, pa.float64()), pa.array(of, pa.int32())],
-                ["field", "rec_id", "label", "seg_no", "lang", "n_words", "confidence", "n_segments"],
+                [*kept, pa.array(number, pa.int32()), pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(sure, pa.float64()), pa.array(of, pa.int32()), pa.array(most, pa.string()), pa.array(mean, pa.float64())],
+                ["field", "rec_id", "label", "seg_no", "lang", "n_words", "confidence", "n_segments", "text_lang", "text_confidence"],
             )
 
-    schema = "field string, rec_id bigint, label string, seg_no int, lang string, n_words int, confidence double, n_segments int"
+    schema = "field string, rec_id bigint, label string, seg_no int, lang string, n_words int, confidence double, n_segments int, text_lang string, text_confidence double"
     return fields.select("field", "rec_id", "text", "label").mapInArrow(run, schema)
 
 
 def mislabelled(found: DataFrame) -> DataFrame:
     """The rows of ``segments`` of texts without a label, with a wrong one, or that mix languages."""
     return found.where("label is null or n_segments > 1 or label <> lang")
+
+
+def text_languages(found: DataFrame) -> DataFrame:
+    """``(field, rec_id, lang, confidence, n_segments)``: one row of ``segments`` for each text, with the language of the whole."""
+    return found.where("seg_no = 0").select("field", "rec_id", F.col("text_lang").alias("lang"), F.col("text_confidence").alias("confidence"), "n_segments")

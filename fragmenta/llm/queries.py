@@ -54,7 +54,12 @@ def _spoken(spark: SparkSession, base: str) -> DataFrame:
 
 def p5_segments(spark: SparkSession, base: str) -> DataFrame:
     """Language and confidence of every stretch of every text."""
-    return language.segments(_spoken(spark, base))
+    return language.segments(_spoken(spark, base), ["train_qa.question", "scenes.asr_text", "scenes.llm_caption_ru"])
+
+
+def p5_texts(spark: SparkSession, base: str) -> DataFrame:
+    """The language of every text as a whole."""
+    return language.text_languages(p5_segments(spark, base))
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -86,5 +91,5 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
     return found.select("source", "doc_id", F.explode("kinds").alias("kind")).groupBy("source", "kind").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_segments": p5_segments, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
+QUERIES: dict = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_segments": p5_segments, "p5_texts": p5_texts, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report}
 ORACLE: dict = {}

@@ -168,6 +168,18 @@ def test_languages(spark):
     assert language.segments(_spoken(spark).limit(0)).count() == 0
 
 
+def test_language_of_a_text_and_long_brackets(spark):
+    en, ru = TEXTS["en"].format(n="Kofalun", m="Bistebe"), TEXTS["ru"].format(n="Kofalun", m="Bistebe")
+    rows = [("f", 2000, f"{en}. {en}. {ru}.", "en"), ("f", 2001, f"({ru}) {en}", "en"), ("f", 2002, f"[{en}]", "ru"), ("f", 2003, "(the door slams shut)", None), ("f", 2004, None, "en")]
+    df = _spoken(spark).unionByName(spark.createDataFrame([(*r, "x") for r in rows], "field string, rec_id bigint, text string, label string, lang string"))
+    found = language.segments(df)
+    texts = {r.rec_id: r for r in language.text_languages(found).where("field = 'f' and rec_id >= 2000").collect()}
+    assert texts[2002].lang == "en" and texts[2002].n_segments == 1
+    assert set(texts) == {2000, 2001, 2002} and texts[2000].lang == "en" and 0.5 < texts[2000].confidence < 0.75 and texts[2001].n_segments == 2
+    again = language.segments(df.orderBy(F.desc("text")).repartition(7), ["f", "g"])
+    assert sorted(map(tuple, again.where("rec_id is not null").collect())) == sorted(map(tuple, found.where("rec_id is not null").collect()))
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in ("en", "ENG", "en-US", "English", "UK", "uk_UA", "rus", " de ", "und", "unknown", "", None, "it")], "l string")
     assert [r[0] for r in df.select(language.label_code(F.col("l"))).collect()] == ["en", "en", "en", "en", "uk", "uk", "ru", "de", None, None, None, None, "other"]
