@@ -358,22 +358,22 @@ def label_code(label: Column) -> Column:
     return code.otherwise(F.lit("other"))
 
 
-def segments(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
+def segments(fields: DataFrame) -> DataFrame:
     """``(field, rec_id, label, seg_no, lang, n_words, confidence, n_segments, text_lang, text_confidence)``.
 
-    ``fields`` holds ``field, rec_id, text, label`` (label as ``label_code`` gives it), and
-    ``names`` the fields (found out if not given). One row for each stretch, in reading
-    order; the language of a text is that of most of its words, with the mean confidence of
-    its words in it and none in the others. Texts that are null or have no word besides
-    sound tags give none. Repeated rows give their rows again. The model is fitted on the
-    ``SAMPLE`` labelled texts of each field with the least hashes, which don't depend on
-    the order of rows.
+    ``fields`` holds ``field, rec_id, text, label`` (label as ``label_code`` gives it). One
+    row for each stretch, in reading order; the language of a text is that of most of its
+    words, with the mean confidence of its words in it and none in the others. Texts that
+    are null or have no word besides sound tags give none. Repeated rows give their rows
+    again. The model is fitted on about ``SAMPLE`` labelled texts of each field, chosen by
+    their hash, so that neither order nor layout of the rows matters.
     """
     spark = fields.sparkSession
-    names = names if names is not None else [r.field for r in fields.select("field").where("field is not null").distinct().collect()]  # the fields are parameters
-    mark = F.xxhash64("rec_id", "text", "label")
-    some = [fields.where((F.col("field") == n) & F.col("text").isNotNull() & F.col("label").isNotNull()).orderBy(mark, "text").limit(SAMPLE).select("text", "label") for n in sorted(names)]
-    rows = [(r.text, r.label) for df in some for r in df.collect()]
+    labelled = fields.where("field is not null and text is not null and label is not null").select("field", "rec_id", "text", "label")
+    sizes = {r.field: r["count"] for r in labelled.groupBy("field").count().collect()}  # the fields are parameters
+    share = F.element_at(F.create_map(*[F.lit(x) for n, size in sizes.items() for x in (n, SAMPLE / size)]), F.col("field")) if sizes else F.lit(0.0)
+    some = labelled.where(F.pmod(F.xxhash64("rec_id", "text", "label"), F.lit(1 << 30)) < share * (1 << 30))
+    rows = sorted((r.text, r.label) for r in some.limit(2 * SAMPLE * max(1, len(sizes))).collect())
     shared = spark.sparkContext.broadcast(_plain(fit(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

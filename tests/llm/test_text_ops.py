@@ -176,7 +176,7 @@ def test_language_of_a_text_and_long_brackets(spark):
     texts = {r.rec_id: r for r in language.text_languages(found).where("field = 'f' and rec_id >= 2000").collect()}
     assert texts[2002].lang == "en" and texts[2002].n_segments == 1
     assert set(texts) == {2000, 2001, 2002} and texts[2000].lang == "en" and 0.5 < texts[2000].confidence < 0.75 and texts[2001].n_segments == 2
-    again = language.segments(df.orderBy(F.desc("text")).repartition(7), ["f", "g"])
+    again = language.segments(df.orderBy(F.desc("text")).repartition(7))
     assert sorted(map(tuple, again.where("rec_id is not null").collect())) == sorted(map(tuple, found.where("rec_id is not null").collect()))
 
 
