@@ -117,3 +117,39 @@ def test_models(spark):
     assert [(r.start, r.end) for r in shots.orderBy("scene_idx").collect()] == [(0.0, 10.0), (10.0, 20.0), (20.0, 25.0)]
     vec = spark.createDataFrame([("a b",), ("",)], "t string").select(models.hashed_vector(F.col("t"), 16)).collect()
     assert abs(sum(x * x for x in vec[0][0]) - 1) < 1e-6 and vec[1][0] is None
+
+
+def test_long_words_are_searched_exactly(spark):
+    """Around the length where pieces take the place of forms, against all pairs; a run of letters costs no more."""
+    import random
+
+    rng = random.Random(3)
+    terms = ["".join(rng.choice("abcd") for _ in range(n)) for n in (22, 23, 24, 25, 26, 27, 40, 90) for _ in range(4)]
+    words = []
+    for t in terms:
+        for _ in range(3):
+            w = list(t)
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(w) - 1)
+                kind = rng.randrange(4)
+                if kind == 0:
+                    del w[i]
+                elif kind == 1:
+                    w.insert(i, rng.choice("abcd"))
+                elif kind == 2:
+                    w[i] = rng.choice("abcd")
+                else:
+                    w[i], w[i + 1] = w[i + 1], w[i]
+            words.append("".join(w))
+    known = spark.createDataFrame([(t, 1) for t in terms], "term string, n bigint")
+    got = {r.word: (r.fix, r.distance) for r in spell.closest(spark.createDataFrame([(w,) for w in [*words, "a" * 5_000]], "word string"), known).collect()}
+    want = {w: min((spell.damerau(w, t), t) for t in terms) for w in words}
+    assert got == {w: (t, d) for w, (d, t) in want.items() if d <= 2} and len(got) > 40
+
+
+def test_repeated_ids_keep_their_texts(spark):
+    asked = spark.createDataFrame([(1, "the staiton"), (1, "a nation"), (None, "the staiton")], "id int, t string")
+    terms = spark.createDataFrame([("station", 5), ("nation", 9), ("the", 9)], "term string, n bigint")
+    keep = spark.createDataFrame([("the",)], "term string")
+    got = sorted((r.t, r.corrected) for r in spell.correct(asked, "id", "t", terms, keep).collect())
+    assert got == [("a nation", "a nation"), ("the staiton", "the station"), ("the staiton", "the station")]
