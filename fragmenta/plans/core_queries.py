@@ -732,7 +732,27 @@ def restore_quotes(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "queries").select("query_id", text.restore_quotes(q, lost).alias("cleaned"))
 
 
-@query()
+_ARABIC_RUN, _MARKS = r"\x{600}-\x{6ff}\x{fb50}-\x{fdff}\x{fe70}-\x{fefe}", r"\x{64b}-\x{65f}\x{670}"
+_ARABIC_BARE = r"\x{600}-\x{64a}\x{660}-\x{66f}\x{671}-\x{6ff}\x{fb50}-\x{fdff}\x{fe70}-\x{fefe}"
+
+
+def _replaced(x: str, pairs: dict[str, str]) -> str:
+    for a, b in pairs.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+def _read_out(source: str, key: str) -> str:
+    """``({key}, t)`` with the reading of Arabic and Chinese, of ``source({key}, t)``."""
+    bare = f"regexp_replace(regexp_replace(k, '([{_ARABIC_BARE}])[{_MARKS}]+', '\\1', 'g'), '[{_MARKS}]+([{_ARABIC_BARE}])', '\\1', 'g')"
+    twice = f"regexp_replace(regexp_replace(b, '([{_ARABIC_RUN}])([{_ARABIC_RUN}])', '\\1 \\2', 'g'), '([{_ARABIC_RUN}])([{_ARABIC_RUN}])', '\\1 \\2', 'g')"
+    russian = "length(regexp_replace(t, '[^\\x{400}-\\x{4ff}]', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]', '', 'g'))"
+    return f"""(SELECT {key}, CASE WHEN regexp_matches(t, '[\\x{{600}}-\\x{{6ff}}\\x{{4e00}}-\\x{{9fff}}]') AND r <> t THEN t || '  ' || r ELSE t END AS t FROM (
+      SELECT *, CASE WHEN {russian} THEN {_replaced("s", text.ARABIC_RU)} ELSE {_replaced("s", text.ARABIC_EN)} END AS r FROM (
+        SELECT *, {twice} AS s FROM (SELECT *, {bare} AS b FROM (SELECT {key}, t, {_replaced("t", text.PHRASES)} AS k FROM {source})))))"""
+
+
+@query(f"SELECT doc_id, t AS text FROM {_read_out('(SELECT doc_id, text AS t FROM documents)', 'doc_id')}")
 def transliterate(spark: SparkSession, base: str) -> DataFrame:
     """Documents with the reading of their Arabic and Chinese words."""
     return table(spark, base, "documents").select("doc_id", text.transliterate(F.col("text")).alias("text"))
@@ -753,7 +773,18 @@ def spell_closest(spark: SparkSession, base: str) -> DataFrame:
     return spell.closest(asked.join(terms.select(F.col("term").alias("word")), "word", "left_anti"), terms.where("n is not null"))
 
 
-@query()
+_KNOWN_TERMS = r"""w AS (SELECT unnest(regexp_extract_all(lower(concat_ws(' ', question_en, answer_en, topic)), '[a-z]{2,}')) AS term FROM train_qa),
+  n AS (SELECT term, count(*) AS n FROM w GROUP BY term HAVING count(*) >= 2), p AS (SELECT DISTINCT unnest(string_split(lower(topic), '-')) AS term FROM train_qa WHERE topic IS NOT NULL)"""
+
+
+@query(rf"""WITH {_NORMALIZED}, {_KNOWN_TERMS},
+  part AS (SELECT query_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS place FROM (SELECT query_id, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS ps FROM norm)),
+  ask AS (SELECT DISTINCT lower(part) AS word FROM part WHERE regexp_matches(part, '^[a-zA-Z]{{3,}}$') AND NOT regexp_matches(part, '^[A-Z]+$')
+    AND lower(part) NOT IN (SELECT term FROM n) AND lower(part) NOT IN (SELECT term FROM p) AND lower(part) NOT IN ({", ".join(f"'{w}'" for w in spell.DOMAIN_WORDS)})),
+  fix AS (SELECT word, term AS fix FROM (SELECT word, term, n, damerau_levenshtein(word, term) AS d FROM ask, n WHERE abs(length(word) - length(term)) <= 2) WHERE d <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY d, n DESC, term) = 1),
+  made AS (SELECT query_id, string_agg(CASE WHEN fix IS NULL OR regexp_matches(part, '^[A-Z]+$') THEN part WHEN regexp_matches(part, '^[A-Z]') THEN upper(substr(fix, 1, 1)) || substr(fix, 2) ELSE fix END, '' ORDER BY place) AS t FROM part LEFT JOIN fix ON lower(part) = word GROUP BY query_id),
+  whole AS (SELECT query_id, coalesce(made.t, norm.t) AS t FROM norm LEFT JOIN made USING (query_id))
+  SELECT query_id, t AS query FROM {_read_out('whole', 'query_id')}""")
 def preprocess_queries(spark: SparkSession, base: str) -> DataFrame:
     """Questions normalised, corrected and transliterated."""
     terms = spell.whitelist(table(spark, base, "train_qa"), ["question_en", "answer_en"], "topic")
