@@ -302,7 +302,12 @@ def query_pairs(spark: SparkSession, base: str) -> DataFrame:
 
 def _asked(spark: SparkSession, base: str) -> DataFrame:
     """The query set of the searches: past questions whose id is divisible by 50, against all rows."""
-    train = table(spark, base, "train_meta").where("doc_id % 50 = 0")
+    return _past(spark, base).where("query_id % 50 = 0")
+
+
+def _past(spark: SparkSession, base: str) -> DataFrame:
+    """All past questions, as queries."""
+    train = table(spark, base, "train_meta")
     english = table(spark, base, "train_qa").select("qa_id", F.col("question_en").alias("_en"))
     joined = train.join(english, "qa_id", "left")
     en = text.blank_to_null(text.strip(F.col("_en")))
@@ -642,11 +647,11 @@ def iou_pairs(spark: SparkSession, base: str) -> DataFrame:
     return met.select("qa_id", "video_id", "scene_idx", F.round(intervals.iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")), 6).alias("iou"))
 
 
-_MINED = f"""{_OKM}, {_unit("qv", "train_meta", "AND doc_id % 50 = 0")}, {_unit("dv", "m")}, hit AS (
+_MINED = f"""{_OKM}, {_unit("qv", "train_meta")}, {_unit("dv", "m")}, hit AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM (SELECT qv.doc_id AS query_id, dv.doc_id, round(list_dot_product(qv.u, dv.u), 6) AS score FROM qv, dv) QUALIFY rank <= 23
 ), asked AS (
-  SELECT t.doc_id AS query_id, t.video_id, t."start" AS a0, t."end" AS a1, t.question, coalesce(q.question_en, '') AS question_en FROM train_meta t LEFT JOIN train_qa q USING (qa_id) WHERE t.doc_id % 50 = 0
+  SELECT t.doc_id AS query_id, t.video_id, t."start" AS a0, t."end" AS a1, t.question, coalesce(q.question_en, '') AS question_en FROM train_meta t LEFT JOIN train_qa q USING (qa_id) WHERE t.doc_id IS NOT NULL
 ), good AS (
   SELECT DISTINCT query_id, m.video_id, scene_idx FROM asked JOIN m USING (video_id) WHERE isfinite(a0) AND isfinite(a1) AND a0 < a1 AND summary <> ''
     AND greatest(0.0, least(m."end", a1) - greatest(m."start", a0)) / ((m."end" - m."start") + (a1 - a0) - greatest(0.0, least(m."end", a1) - greatest(m."start", a0))) >= 0.5
@@ -659,13 +664,13 @@ _MINED = f"""{_OKM}, {_unit("qv", "train_meta", "AND doc_id % 50 = 0")}, {_unit(
 
 def _hits(spark: SparkSession, base: str) -> DataFrame:
     scenes = _corpus(spark, base).scenes
-    return retrieval.dense_topk(scenes, _asked(spark, base).select("query_id", "vec"), 23).join(scenes.select("doc_id", "video_id", "scene_idx", "summary"), "doc_id")
+    return retrieval.dense_topk(scenes, _past(spark, base).select("query_id", "vec"), 23).join(scenes.select("doc_id", "video_id", "scene_idx", "summary"), "doc_id")
 
 
 @query(f"WITH {_MINED} SELECT * FROM bad")
 def hard_negatives(spark: SparkSession, base: str) -> DataFrame:
     """Near scenes that don't answer the question."""
-    good = mining.positives(_asked(spark, base), _corpus(spark, base).scenes)
+    good = mining.positives(_past(spark, base), _corpus(spark, base).scenes)
     return mining.hard_negatives(_hits(spark, base), good)
 
 
@@ -674,7 +679,7 @@ def hard_negatives(spark: SparkSession, base: str) -> DataFrame:
   SELECT query_id, query, positive, bad.summary AS negative, neg_no FROM txt JOIN pos USING (query_id) JOIN bad USING (query_id)""")
 def triplets(spark: SparkSession, base: str) -> DataFrame:
     """Training triplets of a reranker."""
-    return mining.triplets(_asked(spark, base), _corpus(spark, base).scenes, _hits(spark, base))
+    return mining.triplets(_past(spark, base), _corpus(spark, base).scenes, _hits(spark, base))
 
 
 @query(f"""WITH {_MINED}, pos AS (SELECT query_id, arg_min(summary, scene_idx) AS positive FROM good JOIN m USING (video_id, scene_idx) GROUP BY query_id),
