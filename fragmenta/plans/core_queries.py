@@ -9,7 +9,7 @@ from fragmenta.functions import spell, text
 from fragmenta.operators import docs, fusion, intervals, mining, models, retrieval, submit, windows
 from fragmenta.operators.periods import file_stem
 from fragmenta.plans import pipeline
-from fragmenta.session import checkpoint_dir, table, written
+from fragmenta.session import own_folder, table, written
 from fragmenta.streaming import ready
 
 QUERIES: dict = {}
@@ -807,7 +807,7 @@ def stream_ready_join(spark: SparkSession, base: str) -> DataFrame:
     """Two streams of a scene's parts, joined as they arrive."""
     import uuid
 
-    place = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = f"{own_folder(spark)}/stream-{uuid.uuid4().hex}"
     captions, scenes = (table(spark, base, n).schema for n in ("captions", "scenes"))
     a = ready.arrivals(spark, base, "captions", captions).select("video_id", "scene_idx", F.col("caption_id").cast("string").alias("keyframe_path"), "arrived")
     b = ready.arrivals(spark, base, "scenes", scenes).select("video_id", "scene_idx", F.col("row_id").cast("string").alias("asr_text"), "arrived")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fragmenta.operators import docs, models, retrieval
 from fragmenta.plans import run
 from fragmenta.plans.core_queries import _C, _OK, _OKS, _S, _TOKENS, _captions, _hashed, _sound
-from fragmenta.session import checkpoint_dir, table
+from fragmenta.session import own_folder, table
 from fragmenta.sources import readers, writers
 from fragmenta.streaming import ready
 
@@ -29,7 +29,7 @@ def query(sql: str):
 
 def _place(spark: SparkSession) -> str:
     """A new folder in the shared one."""
-    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/io-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/io-{uuid.uuid4().hex}"
 
 
 @query("SELECT caption_id, video_id, scene_idx, vlm_caption, llm_caption_ru, array_to_string(synthetic_queries, ' | ') AS synthetic FROM captions")

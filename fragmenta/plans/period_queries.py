@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmenta.operators.periods import file_stem, interval_rows, periods_and_gaps
-from fragmenta.session import checkpoint_dir, table
+from fragmenta.session import own_folder, table
 from fragmenta.streaming import periods, ready
 
 
@@ -30,7 +30,7 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 
 def stream_periods(spark: SparkSession, base: str) -> DataFrame:
     """The same from streams of the tables: changes in keyed state, then what stands."""
-    place = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    place = f"{own_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = _rows(lambda name: ready.arrivals(spark, base, name, table(spark, base, name).schema))
     writer = ready.start(periods.running_cells(stream), f"{place}/out", f"{place}/checkpoint", mode="update")
     writer.awaitTermination()

@@ -49,18 +49,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, below one folder for each application.
+    """``df`` as a Parquet table in the shared checkpoint folder.
 
     As ``cut``, for results that are read several times and a few columns at a time.
     """
     spark = df.sparkSession
-    place = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The folder of this application in the shared one; it is removed when the process ends, or by ``forget``."""
+    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        _OWN[path] = (place.getFileSystem(spark._jsc.hadoopConfiguration()), place)
+        atexit.register(_remove, path)
+    return path
 
 
 def forget(spark: SparkSession) -> None:
-    """Removes what ``written`` left in the checkpoint folder; call it when the results are saved."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}")
-    with contextlib.suppress(Exception):  # gone already
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    """Removes what ``written`` and the streams left in the shared folder; call it when the results are saved."""
+    _remove(own_folder(spark))
+
+
+_OWN: dict = {}
+
+
+def _remove(path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM, or the folder, may be gone
+        fs, place = _OWN[path]
+        fs.delete(place, True)
