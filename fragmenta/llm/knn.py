@@ -14,7 +14,6 @@ Inverted file of coarse centroids with product-quantised residuals:
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -151,6 +150,15 @@ def _quantise(x: np.ndarray) -> np.ndarray:
     return np.round(x * _QUANT).astype(np.int16)
 
 
+def _binary(stored: np.ndarray, asking: np.ndarray, row: np.ndarray, entry: np.ndarray) -> pa.Array:
+    """The bytes of each row: those of ``stored`` where it is an entry, else those of ``asking``."""
+    offsets = np.r_[0, np.cumsum(np.where(entry, stored.shape[1], asking.shape[1]))].astype(np.int32)
+    data = np.empty(offsets[-1], np.uint8)
+    for source, which in ((stored, np.flatnonzero(entry)), (asking, np.flatnonzero(~entry))):
+        data[offsets[which][:, None] + np.arange(source.shape[1])] = source[row[which]]
+    return pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim: int = 96, k: int = K, probes: int = PROBES) -> DataFrame:
     """``(id, other, cosine, rank)``: up to ``k`` most similar rows of each row.
 
@@ -165,16 +173,20 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim:
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, unit = unit_rows(batch, dim)
-            data = [x.tobytes() for x in unit]
-            key = [hashlib.blake2b(b, digest_size=16).digest() for b in data]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(key, pa.binary()), pa.array(data, pa.binary())], ["id", "h", "v"])
+            flat = np.ascontiguousarray(unit, np.float32).view(np.uint8)
+            offsets = np.arange(len(at) + 1, dtype=np.int32) * (4 * dim)
+            values = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), values], ["id", "v"])
 
-    rows = raw.mapInArrow(normal, "id bigint, h binary, v binary")
+    rows = raw.mapInArrow(normal, "id bigint, v binary").withColumn("h", F.unhex(F.md5("v")))
     n = df.count()
     lists = max(1, min(MAX_LISTS, int(4 * math.sqrt(n))))
     want = lists * SAMPLE_PER_LIST
-    some = raw if n <= want else raw.sample(want / n, seed=_SEED)
-    sample = np.frombuffer(b"".join(bytes(r.v) for r in some.mapInArrow(normal, "id bigint, h binary, v binary").select("v").limit(want).collect()), np.float32).reshape(-1, dim)
+    # Chosen by the hash of the id and sorted by it, so that the index doesn't depend on the order of rows.
+    mark = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    some = raw.where(mark < want / max(n, 1) * (1 << 30)).mapInArrow(normal, "id bigint, v binary")
+    taken = sorted((r.mark, r.id, bytes(r.v)) for r in some.withColumn("mark", mark).limit(2 * want + 1_000).collect())[:want]
+    sample = np.frombuffer(b"".join(v for _, _, v in taken), np.float32).reshape(-1, dim)
     if not len(sample):
         return spark.createDataFrame([], "id bigint, other bigint, cosine double, rank int")
     fitted = Index.fit(sample, n)
@@ -195,18 +207,17 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim:
                 x = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float32).reshape(-1, dim)
                 near = ix.lists_of(x, probes)
                 codes = ix.codes_of(x, near[:, 0])
-                quant = _quantise(x)
-                cols: tuple[list, ...] = ([], [], [], [], [])
-                for i, own in enumerate(ids.tolist()):
-                    for p, at in enumerate(near[i].tolist()):
-                        slices = int(ix.slices[at])
-                        home = own % slices if p == 0 else -1
-                        for s in range(slices):
-                            entry = s == home
-                            for col, value in zip(cols, (at, s, own, entry, x[i].tobytes() + codes[i].tobytes() if entry else quant[i].tobytes())):
-                                col.append(value)
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["list", "slice", "id", "entry", "v"])
+                at, turn = near.ravel(), np.tile(np.arange(near.shape[1]), len(ids))
+                counts = ix.slices[at].astype(np.int64)
+                asked = np.repeat(np.arange(len(at)), counts)  # one for each slice of each list
+                part = np.arange(len(asked)) - np.repeat(np.cumsum(counts) - counts, counts)
+                row = asked // near.shape[1]
+                entry = (turn[asked] == 0) & (part == ids[row] % counts[asked])
+                stored = np.concatenate([x.view(np.uint8).reshape(len(ids), -1), codes.astype(np.uint8)], axis=1)
+                values = _binary(stored, _quantise(x).view(np.uint8).reshape(len(ids), -1), row, entry)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[asked].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(ids[row]), pa.array(entry), values], ["list", "slice", "id", "entry", "v"]
+                )
 
     dealt = single.mapInArrow(deal, "list int, slice int, id bigint, entry boolean, v binary")
 
