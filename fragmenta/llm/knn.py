@@ -1,15 +1,17 @@
 """The k most similar vectors of every vector, by cosine.
 
-Inverted file of coarse centroids with product-quantised residuals:
+Inverted file of coarse centroids, on both sides:
 
-* centroids and codebooks are fitted on a bounded sample (``SAMPLE_PER_LIST`` rows for
-  each list, at most ``MAX_LISTS`` lists); every row is indexed;
+* centroids are fitted on a bounded sample (``SAMPLE_PER_LIST`` rows for each list, at
+  most ``MAX_LISTS`` lists); every row is indexed;
 * equal vectors are collapsed first, so a group of copies costs one entry;
-* a vector is stored in the list of its nearest centroid and asks in its ``PROBES``
-  nearest lists; inside a list asymmetric distance tables over the codes choose
-  ``RERANK`` entries for each query, whose cosine is then computed exactly;
-* a list expected to be large is stored in slices, all of which its queries visit, so
-  no task holds more than a slice.
+* a vector is stored in the lists of its nearest centroids and asks in the same ones, so
+  two vectors meet if they have one list in common; how many lists follows from the
+  number of rows (``probes_of``). Inside a list all pairs are scored;
+* a vector takes the numbers of its lists along, and a pair is reported by the least list
+  that both have, once;
+* a list expected to be large is stored in slices, all of which its queries visit; the
+  entries of a slice come first, so no task holds more than a slice.
 """
 
 from __future__ import annotations
@@ -27,16 +29,14 @@ from fragmenta.session import cut
 
 #: Neighbours of a vector.
 K = 5
-#: Lists that a vector asks in; with 4 sqrt(N) lists, 0.998 of the true neighbours are found at 100,000 rows.
-PROBES = 4
-#: Entries of a list that are compared exactly, for each query.
-RERANK = 64
-#: Bounds of the fit: lists = 4 sqrt(rows) up to MAX_LISTS, sample = lists x SAMPLE_PER_LIST.
-MAX_LISTS, SAMPLE_PER_LIST = 16_384, 16
-#: Numbers in a sub-vector and entries of its codebook.
-SUB, CODES = 4, 256
+#: Lists of a vector at up to 100,000 rows, and for each ten times the rows more.
+PROBES, PROBES_MORE = 6, 2
+#: Entries of a list whose cosine decides, for each query.
+RERANK = 8
+#: Bounds of the fit: lists = probes x sqrt(rows) up to MAX_LISTS, sample = lists x SAMPLE_PER_LIST.
+MAX_LISTS, SAMPLE_PER_LIST = 16_384, 8
 #: Entries of a slice of a list.
-SLICE = 8_192
+SLICE = 32_768
 #: Cosines that agree to so many decimals are equal.
 DECIMALS = 6
 
@@ -44,6 +44,11 @@ _SEED = 11
 _QUANT = 32767.0
 
 
+def probes_of(rows: int) -> int:
+    """Lists of a vector: with more rows, the lists are larger or the centroids further away."""
+    return PROBES + max(0, math.ceil(PROBES_MORE * math.log10(max(rows, 1) / 100_000)))
+
+
 def unit_rows(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, unit vectors) of the rows that hold ``dim`` finite numbers, not all zero."""
     column = batch.column("vec")
@@ -60,86 +65,75 @@ def unit_rows(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[sound], unit + np.float32(0)
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, unit: bool = True) -> np.ndarray:
-    """Lloyd's algorithm; lists left empty start again at a random row."""
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 2) -> np.ndarray:
+    """Lloyd's algorithm on unit vectors; lists left empty start again at a random row. More rounds find no more neighbours."""
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        half = 0 if unit else (c * c).sum(axis=1) / 2
-        near = np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(x), 4096)])
+        near = np.concatenate([np.argmax(x[i : i + 1024] @ c.T, axis=1) for i in range(0, len(x), 1024)])
         order = np.argsort(near, kind="stable")
         n = np.bincount(near, minlength=k)
         starts = np.cumsum(n) - n
         full = n > 0
         c[full] = np.add.reduceat(x[order], starts[full], axis=0) / n[full][:, None]
         c[~full] = x[rng.choice(len(x), int((~full).sum()))]
-        if unit:
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
     return c.astype(np.float32)
 
 
+def _largest(score: np.ndarray, r: int) -> np.ndarray:
+    """Columns of the ``r`` largest of each row, in no order: first the ``r`` best of groups of 16 columns, then the best of these."""
+    n = score.shape[1]
+    if n <= r:
+        return np.broadcast_to(np.arange(n), score.shape)
+    if n < 32 * r:
+        return np.argpartition(-score, r - 1, axis=1)[:, :r]
+    width = n // 16
+    group = score[:, : 16 * width].reshape(len(score), 16, width).max(axis=1)
+    group = np.argpartition(-group, r - 1, axis=1)[:, :r]
+    columns = (group[:, :, None] + width * np.arange(16)).reshape(len(score), -1)
+    if n % 16:
+        columns = np.concatenate([columns, np.broadcast_to(np.arange(16 * width, n), (len(score), n % 16))], axis=1)
+    some = np.argpartition(-np.take_along_axis(score, columns, 1), r - 1, axis=1)[:, :r]
+    return np.take_along_axis(columns, some, 1)
+
+
 @dataclass
 class Index:
-    """Centroids, codebooks and the slices of each list."""
+    """Centroids and the slices of each list."""
 
     centroids: np.ndarray
-    books: np.ndarray
     slices: np.ndarray
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int) -> Index:
+    def fit(cls, sample: np.ndarray, rows: int, probes: int) -> Index:
         rng = np.random.default_rng(_SEED)
         x = np.unique(sample, axis=0)
-        dim = x.shape[1]
-        lists = max(1, min(MAX_LISTS, int(4 * math.sqrt(rows)), -(-len(x) // 8)))
-        centroids = _kmeans(x, lists, rng)
-        near = np.concatenate([np.argmax(x[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(x), 4096)])
-        rest = x - centroids[near]
-        some = rest[rng.choice(len(rest), min(len(rest), 16_384), replace=False)]
-        books = np.stack([_kmeans(np.ascontiguousarray(some[:, m : m + SUB]), min(CODES, len(some)), rng, 6, unit=False) for m in range(0, dim, SUB)])
-        share = np.bincount(near, minlength=lists) / len(x)
-        return cls(centroids, books, np.maximum(1, np.ceil(share * rows / SLICE)).astype(np.int64))
+        lists = max(1, min(MAX_LISTS, int(probes * math.sqrt(rows)), -(-len(x) // SAMPLE_PER_LIST)))
+        index = cls(_kmeans(x, lists, rng), np.ones(lists, np.int64))
+        held = sum(np.bincount(index.lists_of(x[i : i + 1024], probes).ravel(), minlength=lists) for i in range(0, len(x), 1024))
+        return cls(index.centroids, np.maximum(1, np.ceil(held / len(x) * rows / SLICE)).astype(np.int64))
 
     def lists_of(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The nearest lists, the nearest first."""
-        score = x @ self.centroids.T
-        probes = min(probes, score.shape[1])
-        near = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-        return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
-
-    def codes_of(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The codes of the residuals of ``x`` in the lists ``at``."""
-        rest = x - self.centroids[at]
-        out = np.empty((len(x), len(self.books)), np.uint8)
-        for m, book in enumerate(self.books):
-            part = rest[:, m * SUB : (m + 1) * SUB]
-            out[:, m] = np.argmax(part @ book.T - (book * book).sum(axis=1) / 2, axis=1)
-        return out
-
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Asymmetric tables: the product of each sub-query with each codebook entry."""
-        return np.stack([q[:, m * SUB : (m + 1) * SUB] @ book.T for m, book in enumerate(self.books)])
-
-
-def _search(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, entry, cosine) of the best of one slice; equal cosines by id."""
+        """The nearest lists, the least number first."""
+        return np.sort(_largest(x @ self.centroids.T, min(probes, len(self.centroids))), axis=1)
+
+
+def _search(at: int, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, qids: np.ndarray, q: np.ndarray, qlists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, cosine) of the best of one slice of list ``at``, but those that an earlier list has; equal cosines by id."""
     keep_q, keep_id, keep_s = [], [], []
-    columns = [np.ascontiguousarray(codes[:, m]).astype(np.intp) for m in range(codes.shape[1])]
-    for i in range(0, len(q), 512):
-        part, own = q[i : i + 512], qids[i : i + 512]
-        if len(ids) > RERANK:
-            tables = index.tables(part)
-            score = np.take(tables[0], columns[0], axis=1)
-            for table, column in zip(tables[1:], columns[1:]):
-                score += np.take(table, column, axis=1)
-            chosen = np.argpartition(-score, RERANK, axis=1)[:, : RERANK + 1]
-        else:
-            chosen = np.broadcast_to(np.arange(len(ids)), (len(part), len(ids)))
+    before, qbefore = np.where(lists < at, lists.astype(np.int32), -1), np.where(qlists < at, qlists.astype(np.int32), -2)
+    step = max(16, min(512, (1 << 23) // len(ids)))
+    for i in range(0, len(q), step):
+        part, own = q[i : i + step], qids[i : i + step]
+        chosen = _largest(part @ x.T, max(RERANK, k + 2))
         exact = np.round(np.einsum("qd,qrd->qr", part, x[chosen], optimize=False).astype(np.float64), DECIMALS)
         entry = ids[chosen]
         exact[entry == own[:, None]] = -9
         order = np.lexsort((entry, -exact), axis=1)[:, :k]
         best, score = np.take_along_axis(entry, order, 1), np.take_along_axis(exact, order, 1)
-        found = score > -2
+        there = before[np.take_along_axis(chosen, order, 1)]
+        met = (there[:, :, :, None] == qbefore[i : i + step, None, None, :]).any(axis=(2, 3))
+        found = (score > -2) & ~met
         keep_q.append(np.repeat(own, found.sum(axis=1)))
         keep_id.append(best[found])
         keep_s.append(score[found])
@@ -147,19 +141,29 @@ def _search(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, qid
 
 
 def _quantise(x: np.ndarray) -> np.ndarray:
-    return np.round(x * _QUANT).astype(np.int16)
+    """Whole numbers in proportion to each vector, the largest 32767."""
+    return np.round(x * (_QUANT / np.abs(x).max(axis=1, keepdims=True))).astype(np.int16)
 
 
-def _binary(stored: np.ndarray, asking: np.ndarray, row: np.ndarray, entry: np.ndarray) -> pa.Array:
-    """The bytes of each row: those of ``stored`` where it is an entry, else those of ``asking``."""
-    offsets = np.r_[0, np.cumsum(np.where(entry, stored.shape[1], asking.shape[1]))].astype(np.int32)
-    data = np.empty(offsets[-1], np.uint8)
-    for source, which in ((stored, np.flatnonzero(entry)), (asking, np.flatnonzero(~entry))):
-        data[offsets[which][:, None] + np.arange(source.shape[1])] = source[row[which]]
-    return pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+def _restore(v: np.ndarray) -> np.ndarray:
+    """Unit vectors again; their cosines are off by 4e-6 or so."""
+    x = v.astype(np.float32)
+    return x / np.sqrt(np.einsum("nd,nd->n", x, x, dtype=np.float64)).astype(np.float32)[:, None]
 
 
-def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim: int = 96, k: int = K, probes: int = PROBES) -> DataFrame:
+def _binary(data: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    flat = np.ascontiguousarray(data).view(np.uint8).reshape(len(data), data.shape[1] * data.itemsize)
+    offsets = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def _numbers(column: pa.Array, width: int) -> np.ndarray:
+    """The 16-bit numbers of each row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, width)
+
+
+def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim: int = 96, k: int = K, probes: int | None = None) -> DataFrame:
     """``(id, other, cosine, rank)``: up to ``k`` most similar rows of each row.
 
     A vector that isn't ``dim`` finite numbers, or is all zero, and a row without an id
@@ -173,91 +177,83 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim:
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, unit = unit_rows(batch, dim)
-            flat = np.ascontiguousarray(unit, np.float32).view(np.uint8)
-            offsets = np.arange(len(at) + 1, dtype=np.int32) * (4 * dim)
-            values = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), values], ["id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), _binary(_quantise(unit))], ["id", "v"])
 
     rows = raw.mapInArrow(normal, "id bigint, v binary").withColumn("h", F.unhex(F.md5("v")))
+    # Copies: the least id stands for all.
+    light = rows.select("h", "id")
+    groups = cut(light.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    single = rows.join(groups, "h", "left").where("rep is null or id = rep").select("id", "v")
+
     n = df.count()
-    lists = max(1, min(MAX_LISTS, int(4 * math.sqrt(n))))
-    want = lists * SAMPLE_PER_LIST
+    distinct = n - (groups.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    probes = probes or probes_of(distinct)
+    want = max(1, min(MAX_LISTS, int(probes * math.sqrt(distinct)))) * SAMPLE_PER_LIST
     # Chosen by the hash of the id and sorted by it, so that the index doesn't depend on the order of rows.
     mark = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     some = raw.where(mark < want / max(n, 1) * (1 << 30)).mapInArrow(normal, "id bigint, v binary")
     taken = sorted((r.mark, r.id, bytes(r.v)) for r in some.withColumn("mark", mark).limit(2 * want + 1_000).collect())[:want]
-    sample = np.frombuffer(b"".join(v for _, _, v in taken), np.float32).reshape(-1, dim)
+    sample = _restore(np.frombuffer(b"".join(v for _, _, v in taken), np.int16).reshape(-1, dim))
     if not len(sample):
         return spark.createDataFrame([], "id bigint, other bigint, cosine double, rank int")
-    fitted = Index.fit(sample, n)
-    index = spark.sparkContext.broadcast((fitted.centroids, fitted.books, fitted.slices))
-
-    # Copies: the least id stands for all.
-    light = rows.select("h", "id")
-    groups = cut(light.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
-    single = rows.join(groups, "h", "left").where("rep is null or id = rep").select("id", "v")
+    fitted = Index.fit(sample, distinct, probes)
+    probes = min(probes, len(fitted.centroids))
+    index = spark.sparkContext.broadcast((fitted.centroids, fitted.slices))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector to its own list as an entry, and to the others it asks in."""
+        """Each vector to its lists: to one slice of each as an entry, to the others to ask."""
         ix = Index(*index.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
                 ids = np.asarray(batch.column("id"))
-                x = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float32).reshape(-1, dim)
-                near = ix.lists_of(x, probes)
-                codes = ix.codes_of(x, near[:, 0])
-                at, turn = near.ravel(), np.tile(np.arange(near.shape[1]), len(ids))
-                counts = ix.slices[at].astype(np.int64)
+                v = _numbers(batch.column("v"), dim)
+                near = ix.lists_of(_restore(v), probes)
+                at, counts = near.ravel(), ix.slices[near.ravel()]
                 asked = np.repeat(np.arange(len(at)), counts)  # one for each slice of each list
                 part = np.arange(len(asked)) - np.repeat(np.cumsum(counts) - counts, counts)
-                row = asked // near.shape[1]
-                entry = (turn[asked] == 0) & (part == ids[row] % counts[asked])
-                stored = np.concatenate([x.view(np.uint8).reshape(len(ids), -1), codes.astype(np.uint8)], axis=1)
-                values = _binary(stored, _quantise(x).view(np.uint8).reshape(len(ids), -1), row, entry)
+                row = asked // probes
+                guest = part != ids[row] % counts[asked]
+                values = np.concatenate([v, near.astype(np.uint16).view(np.int16)], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at[asked].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(ids[row]), pa.array(entry), values], ["list", "slice", "id", "entry", "v"]
+                    [pa.array(at[asked].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(ids[row]), pa.array(guest), _binary(values[row])], ["list", "slice", "id", "guest", "v"]
                 )
 
-    dealt = single.mapInArrow(deal, "list int, slice int, id bigint, entry boolean, v binary")
+    dealt = single.mapInArrow(deal, "list int, slice int, id bigint, guest boolean, v binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slice by slice; rows of a slice follow one another."""
-        ix = Index(*index.value)
-        key, held = None, []
-
-        def ended() -> Iterator[pa.RecordBatch]:
-            block = pa.Table.from_batches(held).combine_chunks()
-            entry = np.asarray(block.column("entry").combine_chunks().to_numpy(zero_copy_only=False))
-            ids = np.asarray(block.column("id"))
-            data = block.column("v").to_pylist()
-            stored = np.flatnonzero(entry)
-            if not len(stored):
-                return
-            m = len(ix.books)
-            packed = np.frombuffer(b"".join(data[i] for i in stored), np.uint8).reshape(len(stored), 4 * dim + m)
-            x = np.ascontiguousarray(packed[:, : 4 * dim]).view(np.float32)
-            guests = np.flatnonzero(~entry)
-            q = np.frombuffer(b"".join(data[i] for i in guests), np.int16).reshape(-1, dim).astype(np.float32) / np.float32(_QUANT)
-            a, b, s = _search(ix, ids[stored], x, packed[:, 4 * dim :], np.concatenate([ids[stored], ids[guests]]), np.concatenate([x, q]), k)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["id", "other", "cosine"])
+        """Slice by slice; rows of a slice follow one another, its entries first."""
+        key, held, stored = None, [], None
+
+        def read(blocks: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            both = np.concatenate([_numbers(b.column("v"), dim + probes) for b in blocks])
+            return np.concatenate([np.asarray(b.column("id")) for b in blocks]), _restore(both[:, :dim]), both[:, dim:].view(np.uint16)
+
+        def against(asking: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            a, b, s = _search(key[0], *stored, *asking, k)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["id", "other", "cosine"])
 
         for batch in batches:
-            lists, slices = np.asarray(batch.column("list")), np.asarray(batch.column("slice"))
-            new = np.flatnonzero((np.diff(lists) != 0) | (np.diff(slices) != 0)) + 1
+            lists, slices, guest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "slice", "guest"))
+            new = np.flatnonzero((np.diff(lists) != 0) | (np.diff(slices) != 0) | (guest[1:] != guest[:-1])) + 1
             for lo, hi in zip([0, *new], [*new, batch.num_rows]):
                 if hi == lo:
                     continue
-                at = (int(lists[lo]), int(slices[lo]))
+                at, some = (int(lists[lo]), int(slices[lo])), batch.slice(int(lo), int(hi - lo))
+                if held and (at != key or guest[lo]):
+                    stored, held = read(held), []
+                    yield against(stored)
                 if at != key:
-                    if held:
-                        yield from ended()
-                    key, held = at, []
-                held.append(batch.slice(int(lo), int(hi - lo)).select(["id", "entry", "v"]))
+                    key, stored = at, None
+                if not guest[lo]:
+                    held.append(some.select(["id", "v"]))
+                elif stored:
+                    yield against(read([some]))
         if held:
-            yield from ended()
+            stored = read(held)
+            yield against(stored)
 
-    found = dealt.repartition("list", "slice").sortWithinPartitions("list", "slice").mapInArrow(search, "id bigint, other bigint, cosine double")
+    found = dealt.repartition("list", "slice").sortWithinPartitions("list", "slice", "guest").mapInArrow(search, "id bigint, other bigint, cosine double")
     by_rep = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     best = found.withColumn("rank", F.row_number().over(by_rep)).where(F.col("rank") <= k).select("id", "other", "cosine")
 
@@ -275,7 +271,7 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim:
     return asked.unionByName(beyond).withColumn("rank", F.row_number().over(by_rep)).where(F.col("rank") <= k)
 
 
-def neighbour_pairs(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim: int = 96, k: int = K, probes: int = PROBES) -> DataFrame:
+def neighbour_pairs(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", dim: int = 96, k: int = K, probes: int | None = None) -> DataFrame:
     """``(doc_id_a, doc_id_b)``: pairs of which one is among the other's ``k`` most similar, the smaller id first."""
     near = neighbours(df, id_col, vec_col, dim, k, probes)
     return near.select(F.least("id", "other").alias("doc_id_a"), F.greatest("id", "other").alias("doc_id_b")).distinct()

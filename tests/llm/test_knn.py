@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from fragmenta.llm import knn
 
@@ -61,3 +63,34 @@ def test_slices_of_a_list_lose_nothing(spark, monkeypatch):
 def test_empty_and_single(spark):
     df = spark.createDataFrame([(1, [1.0] * 96, 1, "x")], SCHEMA)
     assert knn.neighbours(df).count() == 0 and knn.neighbours(df.limit(0)).count() == 0
+
+
+def test_recall_where_a_list_has_several_groups(spark, monkeypatch, tmp_path):
+    """As in a large table: groups of few rows, more groups than lists, and no centroid near a group."""
+    monkeypatch.setattr(knn, "MAX_LISTS", 128)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(1500, 96))
+    v = np.repeat(centres, 8, axis=0) + 0.33 * rng.normal(size=(12_000, 96))
+    ids = np.arange(12_000)
+    pq.write_table(pa.table({"doc_id": ids, "vec": pa.array(list(v.astype(np.float32)))}), tmp_path / "rows.parquet")
+    got: dict = {}
+    for r in knn.neighbours(spark.read.parquet(str(tmp_path / "rows.parquet"))).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = u[:1000] @ u.T
+    np.fill_diagonal(s, -9)
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(got[i] & set(want[i])) / 5 for i in range(1000)]) >= 0.99
+
+
+def test_a_list_in_slices_gives_each_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 96)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1, "x") for i, x in enumerate(v)], SCHEMA)
+    monkeypatch.setattr(knn, "SLICE", 50)
+    rows = knn.neighbours(df, probes=12).collect()
+    assert len(rows) == 5 * 400 == len({(r.id, r.other) for r in rows})
+    got: dict = {}
+    for r in sorted(rows, key=lambda r: (r.id, r.rank)):
+        got.setdefault(r.id, []).append(r.cosine)
+    assert all(c == sorted(c, reverse=True) for c in got.values())
